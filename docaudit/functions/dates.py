@@ -9,58 +9,32 @@ from docaudit.functions import patterns as P
 from docaudit.functions.text import strip
 
 
-def _month_number(name: Column) -> Column:
-    lowered = [m.lower() for m in P.MONTHS]
-    return F.array_position(F.array(*map(F.lit, lowered)), F.lower(name)).cast("int")
+def claimed_date(raw: Column) -> Column:
+    """The date of a mention, NULL when it is no date.
 
-
-def calendar_date(year: Column, month: Column, day: Column) -> Column:
-    """A date, or NULL when the parts name none; years start at 1."""
-    text = F.format_string("%04d-%02d-%02d", year, month, day)
-    return F.when(year >= 1, F.try_to_date(text, "yyyy-MM-dd"))
-
-
-def _int(c: Column) -> Column:
-    return c.try_cast("int")
-
-
-def normalise_date(raw: Column) -> Column:
-    """``YYYY-MM-DD`` text of a date mention, NULL when it is no date.
-
-    Numeric forms need equal separators. Two-digit years pivot at 69. A missing year is 1900, so
-    29 February without a year is no date.
+    Numeric forms need equal separators. Two-digit years pivot at 69. A missing year is 1900, so 29 February
+    without a year is no date. Years start at 1.
     """
     ymd = r"^([0-9]{4})([-/])([0-9]{1,2})\2([0-9]{1,2})$"
     mdy = r"^([0-9]{1,2})([-/])([0-9]{1,2})\2([0-9]{4}|[0-9]{2})$"
     written = rf"(?U)^([A-Za-z]+){P.SPACE}+([0-9]{{1,2}})(?:,?{P.SPACE}+([0-9]{{4}}))?$"
+    numeric = F.regexp_replace(F.regexp_replace(raw, ymd, "$1-$3-$4"), mdy, "$4-$1-$3")
+    long_year = F.regexp_replace(F.regexp_replace(numeric, r"^(?=[0-5][0-9]-|6[0-8]-)", "20"), r"^(?=[0-9]{2}-)", "19")
+    words = F.regexp_replace(F.regexp_replace(raw, written, "$1 $2 $3"), r"(?<=[0-9]) $", " 1900")
+    return F.coalesce(
+        F.when(~F.startswith(long_year, F.lit("0000")), F.try_to_date(long_year, "yyyy-M-d")),
+        F.when(F.rlike(words, F.lit("^[A-Za-z]+ [0-9]+ (?!0000)[0-9]{4}$")), F.try_to_date(words, "MMMM d yyyy")),
+    )
 
-    def part(pattern: str, group: int) -> Column:
-        return F.regexp_extract(raw, pattern, group)
 
-    short = _int(part(mdy, 4))
-    mdy_year = F.when(F.length(part(mdy, 4)) == 4, short).when(short < 69, short + 2000).otherwise(short + 1900)
-    is_ymd, is_mdy = F.rlike(raw, F.lit(ymd)), F.rlike(raw, F.lit(mdy))
-    year = (
-        F.when(is_ymd, _int(part(ymd, 1)))
-        .when(is_mdy, mdy_year)
-        .otherwise(F.coalesce(_int(part(written, 3)), F.lit(1900)))
-    )
-    month = (
-        F.when(is_ymd, _int(part(ymd, 3)))
-        .when(is_mdy, _int(part(mdy, 1)))
-        .otherwise(_month_number(part(written, 1)))
-    )
-    day = (
-        F.when(is_ymd, _int(part(ymd, 4)))
-        .when(is_mdy, _int(part(mdy, 3)))
-        .otherwise(_int(part(written, 2)))
-    )
-    return F.date_format(calendar_date(year, month, day), "yyyy-MM-dd")
+def normalise_date(raw: Column) -> Column:
+    """``YYYY-MM-DD`` text of a date mention, NULL when it is no date."""
+    return F.date_format(claimed_date(raw), "yyyy-MM-dd")
 
 
 def audited_date(raw: Column) -> Column:
     """The date of an ISO or written mention that has a year, NULL when it is no date."""
-    return F.try_to_date(normalise_date(F.regexp_replace(raw, ",", "")), "yyyy-MM-dd")
+    return claimed_date(F.regexp_replace(raw, ",", ""))
 
 
 def parse_timestamp(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.functions import patterns as P
@@ -55,20 +55,24 @@ def exceeds_tolerance(a: Column, b: Column) -> Column:
     return ~F.isnan(rel) & (rel > TOLERANCE)
 
 
-def lowest_neighbour(a: Column) -> Column:
-    """The least double within tolerance of a finite ``a`` from below.
+def with_lowest_neighbour(df: DataFrame, number: str, name: str) -> DataFrame:
+    """Adds the least double within tolerance of a finite number from below; it never decreases with the number.
 
-    The estimate is off by a few units in the last place at most, so the grid points around it are tried
-    and the least that passes the real test is taken. The result is non-decreasing in ``a``.
+    An estimate is off by two units in the last place at most, so it and the doubles around it are put to the
+    real test and the least that passes is taken. Steps are half units, since a logarithm may place a number
+    just below a power of two one step too high.
     """
+    a = F.col(number)
     guess = (
         F.when(a >= FLOOR, a * (1 - TOLERANCE))
         .when(a >= 0, a - TOLERANCE * FLOOR)
         .otherwise(F.least(a / (1 - TOLERANCE), a - TOLERANCE * FLOOR))
     )
-    unit = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.abs(guess), F.lit(1e-290)))) - 53)
-    tries = F.transform(F.sequence(F.lit(-12), F.lit(12)), lambda k: guess + k * unit)
-    return F.least(a, F.array_min(F.filter(tries, lambda b: ~exceeds_tolerance(a, b))))
+    step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.abs(F.col("_guess")), F.lit(1e-290)))) - 53)
+    tries = [F.col("_guess") + k * F.col("_step") for k in range(-5, 6)]
+    passing = [F.when(~exceeds_tolerance(a, b), b) for b in tries]
+    staged = df.withColumn("_guess", guess).withColumn("_step", step)
+    return staged.withColumn(name, F.least(a, *passing)).drop("_guess", "_step")
 
 
 def order_code(x: Column, bits: int = 28) -> Column:

@@ -105,9 +105,13 @@ AUDIT_DATE_WRITTEN = rf"(?iU)\b(?:{_MONTH}){SPACE}+\d{{1,2}},?{SPACE}+\d{{4}}\b"
 STALE_AFTER_DAYS = 183
 
 # Plan checkboxes, worktree directories, dated track names.
-CHECKBOX = rf"(?U)^{SPACE}*-{SPACE}+\[([ x~])\]"
-WORKTREE_DIRECTORY = r"^issue-([^\n]+)-([^-]+)\n?\z"
-DATED_SUFFIX = r"(?U)-\d{8}\n?\z"
+_GAP = rf"[\s\x1C-\x1F&&[^\n\r]]"
+CHECKBOX = {
+    mark: rf"(?U)(?:\A|(?<=[\n\r])){_GAP}*+-{_GAP}++\[[{chars}]\]"
+    for mark, chars in {"total": " x~", "completed": "x", "in_progress": "~", "pending": " "}.items()
+}
+WORKTREE_DIRECTORY = r"^issue-([^\n]+)-([^-]+)\z"
+DATED_SUFFIX = r"(?U)-\d{8}\z"
 LOOSE_TIMESTAMP = (
     rf"(?U)^(\d{{4}})[^\d]?(\d{{2}})[^\d]?(\d{{2}})(?:T|{SPACE})?(\d{{2}})?[^\d]?(\d{{2}})?[^\d]?(\d{{2}})?"
 )

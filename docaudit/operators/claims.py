@@ -63,27 +63,32 @@ def text_claims(docs: DataFrame, path: str = "path", text: str = "text") -> Data
         )
     )
     kind, raw = F.col("mention.kind"), F.col("mention.raw")
-    valued = found.withColumn("value_num", F.when(kind == "numeric", normalise_number(raw))).withColumn(
-        "value",
-        F.when(kind == "date", normalise_date(raw))
-        .when(kind == "url", normalise_url(raw))
-        .otherwise(float_text(F.col("value_num"))),
+    number = F.when(kind == "numeric", normalise_number(raw))
+    value = (
+        F.when(kind == "date", normalise_date(raw)).when(kind == "url", normalise_url(raw)).otherwise(float_text(number))
     )
-    value = F.col("value")
-    entity = (
-        F.when(kind == "url", value).when((kind == "date") & (F.col("phrase") == ""), value).otherwise(F.col("phrase"))
+    # A one-element generator: later filters on the value then read it instead of computing it again.
+    valued = found.select(
+        "source_file",
+        "line_number",
+        "raw_line",
+        "phrase",
+        "pos",
+        kind.alias("claim_type"),
+        F.inline(F.array(F.struct(value.alias("value"), number.alias("value_num")))),
     )
-    return valued.where(value.isNotNull()).select(
+    own_entity = (F.col("claim_type") == "url") | ((F.col("claim_type") == "date") & (F.col("phrase") == ""))
+    return valued.where(F.col("value").isNotNull()).select(
         F.lit(2).alias("layer"),
         "source_file",
         "line_number",
         "pos",
-        kind.alias("claim_type"),
-        entity.alias("entity"),
+        "claim_type",
+        F.when(own_entity, F.col("value")).otherwise(F.col("phrase")).alias("entity"),
         "value",
         "value_num",
         "raw_line",
-        line.alias("context"),
+        F.col("raw_line").alias("context"),
         F.lit(None).cast("double").alias("confidence"),
         F.lit(None).cast("string").alias("source"),
     )

@@ -99,12 +99,12 @@ def validate(events: DataFrame, width: int = WIDTH) -> DataFrame:
     return joined.withColumn("reason", reason).withColumn("outcome", outcome)
 
 
-def live_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Registrations and accepted updates of the present state of every run."""
-    starts = run_starts(events).select("run_id", "start_seq")
-    live = events.where(F.col("op") != "init").join(starts, "run_id").where(F.col("seq") > F.col("start_seq"))
-    registered = (
-        live.where(F.col("op") == "register")
+def registrations(events: DataFrame, starts: DataFrame) -> DataFrame:
+    """The first registration of every agent in the present state of its run."""
+    return (
+        events.where(F.col("op") == "register")
+        .join(starts.select("run_id", "start_seq"), "run_id")
+        .where(F.col("seq") > F.col("start_seq"))
         .groupBy(*AGENT)
         .agg(
             F.min("seq").alias("register_seq"),
@@ -112,12 +112,24 @@ def live_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.min_by("phase", "seq").alias("phase"),
         )
     )
-    updates = (
-        live.where((F.col("op") == "update") & F.col("status").isin(P.AGENT_STATUSES))
+
+
+def accepted_updates(events: DataFrame, registered: DataFrame) -> DataFrame:
+    """Updates of registered agents with a valid status, after the registration."""
+    return (
+        events.where((F.col("op") == "update") & F.col("status").isin(P.AGENT_STATUSES))
         .join(registered.select(*AGENT, "register_seq"), AGENT)
         .where(F.col("seq") > F.col("register_seq"))
     )
-    return registered, updates
+
+
+def live_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Registrations and accepted updates of the present state of every run.
+
+    A registration lies after the start of the state, so updates need not be compared with that start again.
+    """
+    registered = registrations(events, run_starts(events))
+    return registered, accepted_updates(events, registered)
 
 
 # Fold ---------------------------------------------------------------------------------------------------------
@@ -138,6 +150,7 @@ def stretch_summaries(updates: DataFrame, width: int = WIDTH) -> DataFrame:
         return F.max_by(F.when(when, value), F.when(when, F.col("seq")))
 
     return marked.groupBy(*part).agg(
+        F.min("seq").alias("first_seq"),
         F.min_by("status", "seq").alias("first_status"),
         F.min_by("ts", "seq").alias("first_ts"),
         F.max_by("status", "seq").alias("last_status"),
@@ -149,49 +162,57 @@ def stretch_summaries(updates: DataFrame, width: int = WIDTH) -> DataFrame:
     )
 
 
-def fold_summaries(summaries: DataFrame) -> DataFrame:
-    """Agent state after its last stretch."""
-    before = F.coalesce(F.lag("last_status").over(Window.partitionBy(*AGENT).orderBy("stretch")), F.lit("pending"))
+def merge_summaries(summaries: DataFrame) -> DataFrame:
+    """One summary per agent from consecutive ones; a summary of summaries can be merged again."""
+    before = F.lag("last_status").over(Window.partitionBy(*AGENT).orderBy("first_seq"))
     entered = F.when((F.col("first_status") == "running") & (F.col("before") != "running"), F.col("first_ts"))
     carried = summaries.withColumn("before", before).withColumn(
-        "started_at", F.coalesce(F.col("entered_at"), entered)
+        "entered_at", F.coalesce(F.col("entered_at"), entered)
     )
 
     def last(c: str) -> Column:
-        return F.max_by(c, F.when(F.col(c).isNotNull(), F.col("stretch"))).alias(c)
+        return F.max_by(c, F.when(F.col(c).isNotNull(), F.col("first_seq"))).alias(c)
 
     return carried.groupBy(*AGENT).agg(
-        F.max_by("last_status", "stretch").alias("status"),
-        F.sum("retries").alias("retries"),
-        last("started_at"),
+        F.min("first_seq").alias("first_seq"),
+        F.min_by("first_status", "first_seq").alias("first_status"),
+        F.min_by("first_ts", "first_seq").alias("first_ts"),
+        F.max_by("last_status", "first_seq").alias("last_status"),
+        last("entered_at"),
         last("completed_at"),
         last("interrupt_reason"),
         last("output_path"),
+        F.sum("retries").alias("retries"),
     )
 
 
-def agent_state(events: DataFrame, width: int = WIDTH) -> DataFrame:
-    """present state of every registered agent.
-
-    ``started_at`` is the last change to running from another status, ``completed_at`` the last end, reasons and
-    output paths the last non-empty ones given; ``retries`` counts updates to failed. None is ever cleared.
-    """
-    registered, updates = live_events(events)
-    folded = fold_summaries(stretch_summaries(updates, width))
-    return registered.join(folded, AGENT, "left").select(
+def state_of(registered: DataFrame, summaries: DataFrame) -> DataFrame:
+    """state of every registered agent after its summarised updates; agents start out pending."""
+    began = F.when(F.col("first_status") == "running", F.col("first_ts"))
+    return registered.join(merge_summaries(summaries), AGENT, "left").select(
         *AGENT,
         "role",
         "phase",
-        F.coalesce("status", F.lit("pending")).alias("status"),
+        F.coalesce("last_status", F.lit("pending")).alias("status"),
         F.coalesce("retries", F.lit(0)).alias("retries"),
         "output_path",
-        "started_at",
+        F.coalesce("entered_at", began).alias("started_at"),
         "completed_at",
         "interrupt_reason",
         "register_seq",
     )
 
 
+def agent_state(events: DataFrame, width: int = WIDTH) -> DataFrame:
+    """present state of every registered agent.
+
+    ``started_at`` is the last change to running from another status, ``completed_at`` the last end, reasons and
+    output paths the last non-empty ones given; ``retries`` counts updates to failed. None is ever cleared.
+    """
+    registered, updates = live_events(events)
+    return state_of(registered, stretch_summaries(updates, width))
+
+
 # Runs ---------------------------------------------------------------------------------------------------------
 
 

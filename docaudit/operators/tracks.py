@@ -32,17 +32,9 @@ def plan_counts(plans: DataFrame, plan: str = "plan") -> DataFrame:
     Only blank, ``x`` and ``~`` mark a task; a capital X does not.
     """
 
-    def boxes(marks: str) -> Column:
-        pattern = P.CHECKBOX.replace("[ x~]", marks).replace("(?U)^", r"(?U)(?:\A|(?<=[\n\r]))")
-        inside = pattern.replace(P.SPACE + "*-", r"[\s\x1C-\x1F&&[^\n\r]]*-").replace(P.SPACE + "+", r"[\s\x1C-\x1F&&[^\n\r]]+")
-        return F.regexp_count(F.col(plan), F.lit(inside))
-
     return plans.select(
         *[c for c in plans.columns if c != plan],
-        boxes("[ x~]").alias("total"),
-        boxes("[x]").alias("completed"),
-        boxes("[~]").alias("in_progress"),
-        boxes("[ ]").alias("pending"),
+        *[F.regexp_count(F.col(plan), F.lit(P.CHECKBOX[c])).alias(c) for c in STATS],
     )
 
 
