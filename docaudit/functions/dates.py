@@ -54,10 +54,15 @@ def parse_timestamp(text: Column) -> Column:
     return F.coalesce(strict, loose)
 
 
+def micros(c: Column) -> Column:
+    """Microseconds since 1970 of a timestamp with or without time zone."""
+    return F.unix_micros(c.cast("timestamp"))
+
+
 def age_seconds(then: Column, as_of: Column) -> Column:
     """Whole seconds from ``then`` to ``as_of``, cut towards zero."""
-    micros = F.unix_micros(as_of) - F.unix_micros(then)
-    return F.when(micros >= 0, F.floor(micros / F.lit(1e6))).otherwise(F.ceil(micros / F.lit(1e6)))
+    age = micros(as_of) - micros(then)
+    return F.when(age >= 0, F.floor(age / F.lit(1e6))).otherwise(F.ceil(age / F.lit(1e6)))
 
 
 def relative_age(then: Column, as_of: Column) -> Column:

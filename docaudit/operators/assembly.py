@@ -55,7 +55,7 @@ def add_only(settings: DataFrame, mixin: DataFrame, keys: list[str]) -> DataFram
 
 def passage_key(text: Column) -> Column:
     """I4: what two passages must share to be near-equal: their words in order, in lower case."""
-    return F.trim(F.regexp_replace(F.lower(text), r"(?U)[^\w]+", " "))
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
 def shared_passages(passages: DataFrame, source: str, text: str, min_words: int = 5) -> DataFrame:

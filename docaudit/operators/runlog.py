@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docaudit.functions import patterns as P
+from docaudit.functions.dates import micros
 
 WIDTH = 1_000_000
 AGENT = ["run_id", "agent_id"]
@@ -295,7 +296,7 @@ def resumable(limited: DataFrame, honour_retry_failed: bool = False) -> DataFram
 
 def run_age(runs: DataFrame, as_of: Column, stale_hours: float = 24.0) -> DataFrame:
     """F8: hours since each run was created, and whether that is over a day."""
-    hours = (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros("created_at")) / F.lit(3.6e9)
+    hours = (micros(as_of) - micros(F.col("created_at"))) / F.lit(3.6e9)
     return runs.withColumn("age_hours", hours).withColumn("stale", F.col("age_hours") > stale_hours)
 
 
@@ -355,7 +356,7 @@ def phase_retries(agents: DataFrame, cap: int = 6) -> DataFrame:
 
 def expired_outputs(agents: DataFrame, as_of: Column, ttl_hours: Column) -> DataFrame:
     """outputs older than their time to live; without one an output never expires."""
-    age = (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros("completed_at")) / F.lit(3.6e9)
+    age = (micros(as_of) - micros(F.col("completed_at"))) / F.lit(3.6e9)
     return agents.where(F.col("output_path").isNotNull()).withColumn("age_hours", age).where(
         F.col("age_hours") > ttl_hours
     )
