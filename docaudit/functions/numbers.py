@@ -72,7 +72,7 @@ def with_lowest_neighbour(df: DataFrame, number: str, name: str) -> DataFrame:
     tries = [F.col("_guess") + k * F.col("_step") for k in range(-5, 6)]
     passing = [F.when(~exceeds_tolerance(a, b), b) for b in tries]
     staged = df.withColumn("_guess", guess).withColumn("_step", step)
-    return staged.withColumn(name, F.least(a, *passing)).drop("_guess", "_step")
+    return staged.select(*df.columns, F.least(a, *passing).alias(name))
 
 
 def order_code(x: Column, bits: int = 28) -> Column:

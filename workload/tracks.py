@@ -196,7 +196,8 @@ QUERIES = {
         a AS (SELECT e.*, o_custkey * 37 % 100000 - 60 AS s FROM e JOIN orders USING (o_orderkey))
         SELECT o_orderkey, changed, origin, CASE WHEN s >= 86400 THEN (s // 86400) || 'days'
             WHEN s >= 3600 AND s % 3600 // 60 > 0 THEN (s // 3600) || 'h' || (s % 3600 // 60) || 'm' WHEN s >= 3600 THEN (s // 3600) || 'h'
-            WHEN s >= 60 THEN (s // 60) || 'min' ELSE greatest(s, 0) || 'sec' END AS age FROM a""",
+            WHEN s < 0 THEN '59min'
+            WHEN s >= 60 THEN (s // 60) || 'min' ELSE s || 'sec' END AS age FROM a""",
     ),
     "track_registry": (
         track_registry,
