@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,22 @@ from docaudit.functions import patterns as P
 from docaudit.functions.text import strip
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed a single time, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def calendar_date(year: Column, month: Column, day: Column) -> Column:
+    """A date, or NULL when the parts name none; years start at 1.
+
+    The parts are checked rather than parsed: a failed parse costs an exception per value.
+    """
+    safe_year, safe_month = F.greatest(year, F.lit(1)), F.greatest(F.least(month, F.lit(12)), F.lit(1))
+    last = F.dayofmonth(F.last_day(F.make_date(safe_year, safe_month, F.lit(1))))
+    valid = (year >= 1) & month.between(1, 12) & day.between(1, last)
+    return F.when(valid, F.make_date(safe_year, safe_month, F.greatest(F.least(day, last), F.lit(1))))
+
+
 def claimed_date(raw: Column) -> Column:
     """The date of a mention, NULL when it is no date.
 
@@ -20,16 +38,22 @@ def claimed_date(raw: Column) -> Column:
     written = rf"(?U)^([A-Za-z]+){P.SPACE}+([0-9]{{1,2}})(?:,?{P.SPACE}+([0-9]{{4}}))?$"
     numeric = F.regexp_replace(F.regexp_replace(raw, ymd, "$1-$3-$4"), mdy, "$4-$1-$3")
     long_year = F.regexp_replace(F.regexp_replace(numeric, r"^(?=[0-5][0-9]-|6[0-8]-)", "20"), r"^(?=[0-9]{2}-)", "19")
-    words = F.regexp_replace(F.regexp_replace(raw, written, "$1 $2 $3"), r"(?<=[0-9]) $", " 1900")
-    return F.coalesce(
-        F.when(~F.startswith(long_year, F.lit("0000")), F.try_to_date(long_year, "yyyy-M-d")),
-        F.when(F.rlike(words, F.lit("^[A-Za-z]+ [0-9]+ (?!0000)[0-9]{4}$")), F.try_to_date(words, "MMMM d yyyy")),
-    )
+    words = F.regexp_replace(F.regexp_replace(raw, written, "$3-$1-$2"), r"^-", "1900-")
+    months = F.create_map(*[F.lit(v) for i, m in enumerate(P.MONTHS, 1) for v in (m.lower(), i)])
+    parts = F.when(F.rlike(raw, F.lit("^[0-9]")), long_year).otherwise(words)
+    form = F.lit("^[0-9]{4}-(?:[0-9]{1,2}|[A-Za-z]+)-[0-9]{1,2}$")
+
+    def numbers(p: Column) -> Column:
+        month = F.coalesce(F.get(p, F.lit(1)).try_cast("int"), F.try_element_at(months, F.lower(F.get(p, F.lit(1)))))
+        return F.struct(F.get(p, F.lit(0)).try_cast("int").alias("y"), month.alias("m"), F.get(p, F.lit(2)).try_cast("int").alias("d"))
+
+    split = once(parts, lambda p: F.when(F.rlike(p, form), F.split(p, "-")))
+    return once(once(split, numbers), lambda n: calendar_date(n["y"], n["m"], n["d"]))
 
 
 def normalise_date(raw: Column) -> Column:
     """``YYYY-MM-DD`` text of a date mention, NULL when it is no date."""
-    return F.date_format(claimed_date(raw), "yyyy-MM-dd")
+    return claimed_date(raw).cast("string")
 
 
 def audited_date(raw: Column) -> Column:

@@ -41,10 +41,24 @@ def text_claims(docs: DataFrame, path: str = "path", text: str = "text") -> Data
     without one stands for itself; a URL is its own entity and value.
     """
 
-    def tagged(kind: str, found: Column) -> Column:
-        return F.transform(found, lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("raw")))
+    none = F.lit(None).cast("double")
+
+    def claim(kind: str, value: Column, number: Column = none) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), value.alias("value"), number.alias("num"))
+
+    def dated(m: Column) -> Column:
+        return claim("date", normalise_date(m))
+
+    def linked(m: Column) -> Column:
+        return claim("url", normalise_url(m))
+
+    def counted(n: Column) -> Column:
+        return claim("numeric", float_text(n), n)
 
     line = F.col("raw_line")
+    # Values are made inside the arrays: each is computed once, and the code generated for the row stays small.
+    numbers = F.transform(F.transform(mentions(line, P.CLAIM_NUMBER), normalise_number), counted)
+    nothing = F.array().cast("array<struct<kind:string,value:string,num:double>>")
     found = (
         numbered_lines(docs, path, text)
         .where(F.rlike(line, F.lit(r"(?iU)\d|https?://")))
@@ -53,43 +67,27 @@ def text_claims(docs: DataFrame, path: str = "path", text: str = "text") -> Data
             "*",
             F.posexplode(
                 F.concat(
-                    *[tagged("date", mentions(line, p)) for p in P.CLAIM_DATES],
-                    tagged("url", mentions(line, P.CLAIM_URL)),
-                    F.when(F.col("phrase") != "", tagged("numeric", mentions(line, P.CLAIM_NUMBER))).otherwise(
-                        F.array().cast("array<struct<kind:string,raw:string>>")
-                    ),
+                    *[F.transform(mentions(line, p), dated) for p in P.CLAIM_DATES],
+                    F.transform(mentions(line, P.CLAIM_URL), linked),
+                    F.when(F.col("phrase") != "", numbers).otherwise(nothing),
                 )
             ).alias("pos", "mention"),
         )
     )
-    kind, raw = F.col("mention.kind"), F.col("mention.raw")
-    number = F.when(kind == "numeric", normalise_number(raw))
-    value = (
-        F.when(kind == "date", normalise_date(raw)).when(kind == "url", normalise_url(raw)).otherwise(float_text(number))
-    )
-    # A one-element generator: later filters on the value then read it instead of computing it again.
-    valued = found.select(
-        "source_file",
-        "line_number",
-        "raw_line",
-        "phrase",
-        "pos",
-        kind.alias("claim_type"),
-        F.inline(F.array(F.struct(value.alias("value"), number.alias("value_num")))),
-    )
-    own_entity = (F.col("claim_type") == "url") | ((F.col("claim_type") == "date") & (F.col("phrase") == ""))
-    return valued.where(F.col("value").isNotNull()).select(
+    kind, value = F.col("mention.kind"), F.col("mention.value")
+    own_entity = (kind == "url") | ((kind == "date") & (F.col("phrase") == ""))
+    return found.where(value.isNotNull()).select(
         F.lit(2).alias("layer"),
         "source_file",
         "line_number",
         "pos",
-        "claim_type",
-        F.when(own_entity, F.col("value")).otherwise(F.col("phrase")).alias("entity"),
-        "value",
-        "value_num",
+        kind.alias("claim_type"),
+        F.when(own_entity, value).otherwise(F.col("phrase")).alias("entity"),
+        value.alias("value"),
+        F.col("mention.num").alias("value_num"),
         "raw_line",
-        F.col("raw_line").alias("context"),
-        F.lit(None).cast("double").alias("confidence"),
+        line.alias("context"),
+        none.alias("confidence"),
         F.lit(None).cast("string").alias("source"),
     )
 
