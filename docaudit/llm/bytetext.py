@@ -138,8 +138,8 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndar
         out[place] = combined[take]
     for i in np.flatnonzero((n > 0) & (n < size)):
         own = hashes[bounds[i] : bounds[i + 1]]
-        value = np.uint64(len(own))
+        value = np.full(1, len(own), np.uint64)
         for h in own:
-            value = mix(np.array([value * np.uint64(_BASE) + h], np.uint64))[0]
-        out[starts[i]] = value
+            value = mix(value * np.uint64(_BASE) + h)
+        out[starts[i]] = value[0]
     return out, starts

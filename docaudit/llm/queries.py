@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.llm import exact_dedup, line_dedup, source_mixing
+from docaudit.llm import exact_dedup, line_dedup, ngram_join, source_mixing
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op2_ngram_join(spark, d):
+    rows = ngram_join.near_duplicates(table(spark, d, "documents"))
+    return rows.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+
+
 def op4_mix_sources(spark, d):
     plan = source_mixing.mixing_plan(table(spark, d, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -71,5 +76,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (g.key IS NOT NULL) AS n_dro
 FROM k LEFT JOIN g ON k.key = g.key GROUP BY doc_id
 """
 
-RUNS = {f.__name__: f for f in (op1_exact_dedup, op4_mix_sources, op6_line_dedup)}
+RUNS = {f.__name__: f for f in (op1_exact_dedup, op2_ngram_join, op4_mix_sources, op6_line_dedup)}
 SQL = {"op1_exact_dedup": OP1_SQL, "op4_mix_sources": OP4_SQL, "op6_line_dedup": OP6_SQL}
