@@ -81,6 +81,16 @@ def blocks(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray, size: int =
         at = end
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2 ** 64."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        factors = np.full(n, base, np.uint64)
+        factors[0] = 1
+        out.append(np.multiply.accumulate(factors))
+    return tuple(out)
+
+
 def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray, fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and 64-bit hash of every word; ``apart``: bytes between words, ``fold``: byte to byte."""
     powers = inverses = None
@@ -102,12 +112,7 @@ def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray, fold: np.nda
         if not len(start):
             continue
         if powers is None or len(powers) < n + 1:
-            base = np.full(max(n, BLOCK) + 1, _BASE, np.uint64)
-            base[0] = 1
-            powers = np.multiply.accumulate(base)
-            base = np.full(max(n, BLOCK) + 1, pow(_BASE, -1, 1 << 64), np.uint64)
-            base[0] = 1
-            inverses = np.multiply.accumulate(base)
+            powers, inverses = _powers(max(n, BLOCK) + 1)
         values = ((fold[part] if fold is not None else part).astype(np.uint64) + np.uint64(1)) * powers[:n]
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(values, out=sums[1:])
@@ -118,6 +123,24 @@ def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray, fold: np.nda
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans in order of their starts, which do not overlap."""
+    out = np.empty(len(starts), np.uint64)
+    powers = inverses = None
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, "right")))
+        low, high = int(starts[i]), int(ends[j - 1])
+        if powers is None or len(powers) < high - low + 1:
+            powers, inverses = _powers(max(high - low, BLOCK) + 1)
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * powers[: high - low], out=sums[1:])
+        a, b = starts[i:j] - low, ends[i:j] - low
+        out[i:j] = mix((sums[b] - sums[a]) * inverses[a] ^ (b - a).astype(np.uint64) << np.uint64(40))
+        i = j
+    return out
+
+
 def shingles(hashes: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of runs of ``size`` words and where each text's begin; a text with fewer words has one, of all; without words none.
 

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.llm import exact_dedup, line_dedup, ngram_join, source_mixing
+from docaudit.llm import exact_dedup, line_dedup, ngram_join, source_mixing, subword_sampling
+
+
+#: Folder of public tokenizer files.
+TOKENIZERS = os.environ.get("DOCAUDIT_TOKENIZERS", "/opt/tokenizers")
+MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,6 +40,10 @@ def op2_ngram_join(spark, d):
     return rows.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
 
 
+def op3_sample_pieces(spark, d):
+    return subword_sampling.encode(table(spark, d, "documents"), MODEL, samples=2)
+
+
 def op4_mix_sources(spark, d):
     plan = source_mixing.mixing_plan(table(spark, d, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -76,5 +87,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (g.key IS NOT NULL) AS n_dro
 FROM k LEFT JOIN g ON k.key = g.key GROUP BY doc_id
 """
 
-RUNS = {f.__name__: f for f in (op1_exact_dedup, op2_ngram_join, op4_mix_sources, op6_line_dedup)}
+RUNS = {f.__name__: f for f in (op1_exact_dedup, op2_ngram_join, op3_sample_pieces, op4_mix_sources, op6_line_dedup)}
 SQL = {"op1_exact_dedup": OP1_SQL, "op4_mix_sources": OP4_SQL, "op6_line_dedup": OP6_SQL}
