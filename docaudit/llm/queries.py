@@ -7,7 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.llm import exact_dedup, line_dedup, ngram_join, source_mixing, subword_sampling
+from docaudit.llm import exact_dedup, line_dedup, ngram_join, quality, source_mixing, subword_sampling, toxicity
+from docaudit.llm.common import held_out
 
 
 #: Folder of public tokenizer files.
@@ -69,6 +70,13 @@ SELECT doc_id, size, source_size, target, ((floor(rate * nth + u) - floor(rate *
 """
 
 
+def op5_toxicity(spark, d):
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    model = toxicity.train(docs, labels, held_out(F.col("k"), 3, 1))
+    rows = toxicity.score(docs, model)
+    return rows.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "offending")
+
+
 def op6_line_dedup(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     bitmaps = line_dedup.line_bitmaps(docs)
@@ -87,5 +95,14 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (g.key IS NOT NULL) AS n_dro
 FROM k LEFT JOIN g ON k.key = g.key GROUP BY doc_id
 """
 
-RUNS = {f.__name__: f for f in (op1_exact_dedup, op2_ngram_join, op3_sample_pieces, op4_mix_sources, op6_line_dedup)}
+def quality_model(spark, d):
+    return quality.train(table(spark, d, "documents"), table(spark, d, "labels"), held_out(F.col("k"), 5, 0))
+
+
+def op9_quality(spark, d):
+    rows = quality.score(table(spark, d, "documents"), quality_model(spark, d))
+    return rows.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "passages")
+
+
+RUNS = {f.__name__: f for f in (op1_exact_dedup, op2_ngram_join, op3_sample_pieces, op4_mix_sources, op5_toxicity, op6_line_dedup, op9_quality)}
 SQL = {"op1_exact_dedup": OP1_SQL, "op4_mix_sources": OP4_SQL, "op6_line_dedup": OP6_SQL}
