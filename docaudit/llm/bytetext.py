@@ -91,10 +91,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(out)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray, fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and 64-bit hash of every word; ``apart``: bytes between words, ``fold``: byte to byte."""
+def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray, fold: np.ndarray | None = None, stems: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """Start, end and 64-bit hash of every word; ``apart``: bytes between words, ``fold``: byte to byte.
+
+    stems: for each of these numbers of bytes, a further array with the hash of the word's first bytes, 0 if it is not longer.
+    """
     powers = inverses = None
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    out: list[tuple[np.ndarray, ...]] = []
     for low, high in blocks(data, offsets, apart):
         part = data[low:high]
         n = len(part)
@@ -117,9 +120,16 @@ def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray, fold: np.nda
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(values, out=sums[1:])
         hashes = (sums[end] - sums[start]) * inverses[start]
-        out.append((start + low, end + low, mix(hashes ^ ((end - start).astype(np.uint64) << np.uint64(40)))))
+        begun = []
+        for k in stems:
+            own = np.zeros(len(start), np.uint64)
+            longer = np.flatnonzero(end - start > k)
+            at = start[longer]
+            own[longer] = mix((sums[at + k] - sums[at]) * inverses[at] ^ np.uint64(k << 48))
+            begun.append(own)
+        out.append((start + low, end + low, mix(hashes ^ ((end - start).astype(np.uint64) << np.uint64(40))), *begun))
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * (1 + len(stems))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 

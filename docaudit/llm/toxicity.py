@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning: a document is toxic if any of its sentences is, and only documents have labels.
 
-Each sentence gets a probability from the words in it; those of a document are joined by noisy-or. Weights are fitted to labels of
+Each sentence gets a probability from the words and the beginnings of longer words in it; those of a document are joined by noisy-or. Weights are fitted to labels of
 documents, so sentences get scores although none has a label, and the ones at fault can be located.
 """
 
@@ -18,8 +18,10 @@ from docaudit.llm.common import arrow_map, labelled_sample
 
 #: Bytes that end a sentence.
 ENDS = b".!?\n"
-#: Most words that get a weight.
+#: Most words and beginnings of words that get a weight.
 MOST_WORDS = 2048
+#: Beginnings of so many bytes count beside whole words.
+STEMS = (4, 5, 6, 7)
 
 
 @dataclass
@@ -36,7 +38,7 @@ def softplus(x: np.ndarray) -> np.ndarray:
 def _sentences(column: pa.Array) -> dict:
     """The words of a batch of texts, and the sentences: runs of words with none of ENDS between them; a text without words has none."""
     data, offsets = utf8(column)
-    starts, ends, hashes = words(data, offsets, letters_table(), fold_table())
+    starts, ends, *hashes = words(data, offsets, letters_table(), fold_table(), STEMS)
     stops = np.zeros(256, bool)
     stops[list(ENDS)] = True
     passed = np.concatenate([[0], np.cumsum(stops[data])])[starts]
@@ -47,8 +49,15 @@ def _sentences(column: pa.Array) -> dict:
     return {"data": data, "offsets": offsets, "starts": starts, "ends": ends, "hashes": hashes, "sentence": np.cumsum(new) - 1, "first": first, "doc": doc[first]}
 
 
-def _known(vocabulary: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which words have a weight, and the number of each."""
+def _known(vocabulary: np.ndarray, hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Which words have a weight, as whole or by a beginning, and the number of each weight; in order of words."""
+    found = [_hits(vocabulary, own) for own in hashes]
+    at, number = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(at, kind="stable")
+    return at[order], number[order]
+
+
+def _hits(vocabulary: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(vocabulary):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     low = np.uint64(0xFFFF)
@@ -66,7 +75,9 @@ def _document_words(batches):
         y = batch.column("y").to_numpy()
         doc = s["doc"][s["sentence"]]
         for d in range(batch.num_rows):
-            own = np.unique(s["hashes"][np.searchsorted(doc, d) : np.searchsorted(doc, d, "right")])
+            a, b = np.searchsorted(doc, d), np.searchsorted(doc, d, "right")
+            own = np.unique(np.concatenate([x[a:b] for x in s["hashes"]]))
+            own = own[own != 0]
             yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.full(len(own), y[d]))], ["word", "y"])
 
 
@@ -87,7 +98,7 @@ def _bags(vocabulary: np.ndarray):
     return run
 
 
-def fit_noisy_or(y: np.ndarray, plain: np.ndarray, doc: np.ndarray, sentence: np.ndarray, word: np.ndarray, size: int, rounds: int = 400, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit_noisy_or(y: np.ndarray, plain: np.ndarray, doc: np.ndarray, sentence: np.ndarray, word: np.ndarray, size: int, rounds: int = 400, decay: float = 2e-5) -> tuple[np.ndarray, float]:
     """Weights and bias of the sentences' logits, by Adam on the likelihood of the documents' labels.
 
     plain: sentences without known words per document; doc: the document of each other sentence; sentence, word: which words
@@ -104,24 +115,25 @@ def fit_noisy_or(y: np.ndarray, plain: np.ndarray, doc: np.ndarray, sentence: np
         slope = np.maximum(slope, -1e3) / n
         per = slope[doc] / (1 + np.exp(-logits))
         grad = np.concatenate([np.bincount(word, per[sentence], minlength=size), [per.sum() + (slope * plain).sum() / (1 + np.exp(-theta[-1]))]])
-        grad[:-1] += decay * theta[:-1] / max(1, size)
+        grad[:-1] += decay * theta[:-1]
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad**2
         theta -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-10)
     return theta[:-1], float(theta[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, held: Column, bound: int = 20_000, label: str = "toxic", key: str = "doc_id", text: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, held: Column, bound: int = 8000, label: str = "toxic", key: str = "doc_id", text: str = "text") -> Model:
     """Fits on about ``bound`` labelled documents that are not held out, chosen by a hash of the key; nothing else is bounded by it.
 
-    Words are counted by label over this sample on the executors. At most MOST_WORDS that are commoner among label 1 get a weight; the
+    Words and beginnings are counted by label over this sample on the executors. At most MOST_WORDS that are commoner among label 1, and
+    found in more than a few of its documents, get a weight; the
     driver receives those and, of each sampled document, the sentences that have any. Without both labels, no word gets a weight.
     """
     sample = labelled_sample(docs, labels, label, bound, held, key, text)
     counts = arrow_map(sample, _document_words, "word long, y double").groupBy("word").agg(F.sum("y").alias("bad"), F.count("*").alias("n"))
     sizes = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
     bad, good = sizes.get(1.0, 0), sizes.get(0.0, 0)
-    least = max(3, bad / 500)
+    least = max(4, bad / 60)
     lift = (F.col("bad") + 0.5) / (bad + 1) / ((F.col("n") - F.col("bad") + 0.5) / (good + 1))
     chosen = counts.filter(F.col("bad") >= least).withColumn("lift", lift).filter("lift > 2")
     chosen = chosen.orderBy((F.col("bad") * F.log("lift")).desc(), "word").limit(MOST_WORDS).select("word").collect()
