@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes that separate words: blank and \t \n \v \f \r.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -51,7 +52,7 @@ class SharedTable:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` over batches of BATCH_ROWS rows at most."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:

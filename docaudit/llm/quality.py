@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docaudit.llm.bytetext import blank_table, utf8, words
 from docaudit.llm.common import arrow_map, labelled_sample
@@ -168,5 +169,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(1 / (1 + np.exp(-s["logit"]))), pa.array(np.diff(cuts)), weights], ["id", "score", "passages", "weights"])
 
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    return arrow_map(rows, run, f"id {kind}, score double, passages int, weights array<float>").withColumnRenamed("id", key)
+    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType)])
+    for name, kind in (("score", T.DoubleType()), ("passages", T.IntegerType()), ("weights", T.ArrayType(T.FloatType()))):
+        schema.add(name, kind)
+    return arrow_map(rows, run, schema).withColumnRenamed("id", key)

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.llm import exact_dedup, line_dedup, ngram_join, quality, source_mixing, subword_sampling, toxicity
+from docaudit.llm import chat_format, exact_dedup, line_dedup, ngram_join, pseudonyms, quality, source_mixing, subword_sampling, toxicity, vector_forest
 from docaudit.llm.common import held_out
 
 
@@ -95,6 +95,42 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (g.key IS NOT NULL) AS n_dro
 FROM k LEFT JOIN g ON k.key = g.key GROUP BY doc_id
 """
 
+def op7_vector_forest(spark, d):
+    rows = vector_forest.nearest(table(spark, d, "embeddings"), F.col("vec_id") % 100 == 0)
+    return rows.select(F.col("query").alias("query_id"), "rank", F.col("neighbour").alias("vec_id"), "score")
+
+
+#: Arguments of the tools that the calls derived from conversations use.
+TOOLS = {
+    "search": {"type": "object", "required": ["query", "limit"], "additionalProperties": False, "properties": {"query": {"type": "string", "minLength": 1}, "limit": {"type": "integer", "minimum": 1, "maximum": 50}}},
+    "translate": {"type": "object", "required": ["text", "to"], "additionalProperties": False, "properties": {"text": {"type": "string"}, "to": {"enum": ["de", "en", "es", "fr"]}}},
+    "summarize": {"type": "object", "required": ["source"], "additionalProperties": False, "properties": {"source": {}, "words": {"type": "integer", "minimum": 1}}},
+}
+
+
+def derived_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tool calls and results made of conversations, which have none: each assistant turn calls one to three tools on its text, the later
+    of which need the earlier ones' results, written in another order; each user turn answers some calls of the turn before."""
+    rows = conversations.select(F.col("conv_id").alias("conv"), "turn", "role", "text")
+    n = F.length("text")
+    name = lambda k, t: F.concat(F.lit("call_"), t.cast("string"), F.lit(f"_{k}"))
+    search = F.to_json(F.struct(F.col("text").alias("query"), (n % 60).alias("limit")))
+    translate = F.to_json(F.struct(F.struct(name(0, F.col("turn")).alias("$ref")).alias("text"), F.element_at(F.array(*map(F.lit, ["de", "en", "es", "fr", "la"])), n % 5 + 1).alias("to")))
+    summarize = F.to_json(F.struct(F.struct(name(1, F.col("turn")).alias("$ref")).alias("source"), F.when(n % 7 > 0, n).alias("words")))
+    call = lambda k, tool, arguments: F.struct(name(k, F.col("turn")).alias("id"), F.lit(tool).alias("name"), arguments.alias("arguments"))
+    calls = F.slice(F.array(call(2, "summarize", summarize), call(1, "translate", translate), call(0, "search", search)), 3 - n % 3, n % 3 + 1)
+    messages = rows.withColumn("calls", F.when((F.col("role") == "assistant") & (n > 0), calls))
+    answers = rows.filter("role = 'user' AND turn > 0").select("conv", "turn", F.explode(F.sequence(F.lit(0), (n % 3).cast("int"))).alias("k"), "text")
+    results = answers.select("conv", F.concat(F.lit("call_"), (F.col("turn") - 1).cast("string"), F.lit("_"), F.col("k").cast("string")).alias("call_id"), "turn", F.col("text").alias("content"))
+    return messages, results
+
+
+def op8_chat_format(spark, d):
+    messages, results = derived_calls(table(spark, d, "conversations"))
+    rows = chat_format.format_chats(messages, results, TOOLS)
+    return rows.select(F.col("conv").cast("long").alias("conv_id"), "turn", "part", "message", "role", "call_id", "json", "problems")
+
+
 def quality_model(spark, d):
     return quality.train(table(spark, d, "documents"), table(spark, d, "labels"), held_out(F.col("k"), 5, 0))
 
@@ -104,5 +140,15 @@ def op9_quality(spark, d):
     return rows.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "passages")
 
 
-RUNS = {f.__name__: f for f in (op1_exact_dedup, op2_ngram_join, op3_sample_pieces, op4_mix_sources, op5_toxicity, op6_line_dedup, op9_quality)}
+#: Key of the registered query; a user passes their own.
+PSEUDONYM_KEY = b"registered query"
+
+
+def op10_pseudonyms(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    rows = pseudonyms.mask(docs, PSEUDONYM_KEY)
+    return rows.select("doc_id", F.size("spans").cast("long").alias("n_found"), "spans", "text", _sha(F.col("text")).alias("text_sha256"))
+
+
+RUNS = {f.__name__: f for f in (op1_exact_dedup, op2_ngram_join, op3_sample_pieces, op4_mix_sources, op5_toxicity, op6_line_dedup, op7_vector_forest, op8_chat_format, op9_quality, op10_pseudonyms)}
 SQL = {"op1_exact_dedup": OP1_SQL, "op4_mix_sources": OP4_SQL, "op6_line_dedup": OP6_SQL}
