@@ -161,10 +161,12 @@ class Lattice:
         with np.errstate(invalid="ignore"):
             self.log_chance = np.where(np.isfinite(total), total - rest[begin], -np.inf)
         self.chance = np.exp(self.log_chance)
-        sums = np.cumsum(self.chance)
-        base = np.concatenate([[0.0], sums])[groups]
         size = np.diff(np.append(groups, len(begin)))
-        self.upto = sums - np.repeat(base, size)
+        # Summed within each node, so that rounding does not depend on what else is in the batch.
+        self.upto = self.chance.copy()
+        for nth in range(1, int(size.max(initial=1))):
+            more = groups[size > nth] + nth
+            self.upto[more] += self.upto[more - 1]
         self.last = np.zeros(len(begin), bool)
         self.last[groups + size - 1] = True
 
@@ -245,15 +247,19 @@ def sample_batch(v: Vocabulary, column: pa.Array, keys: np.ndarray, samples: int
         """Scores of the sets of paths that leave each path at each arc. before: the path's log-probability up to its first arc here."""
         size = np.diff(first)
         logs = lattice.log_chance[arcs]
-        sums = np.concatenate([[0.0], np.cumsum(logs)])
-        here = sums[:-1] - np.repeat(sums[first[:-1]] - before, size)
+        here, total = np.empty(len(arcs)), before.copy()
+        for j, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+            if b > a:
+                sums = np.cumsum(logs[a:b])
+                here[a], here[a + 1 : b] = before[j], before[j] + sums[:-1]
+                total[j] += sums[-1]
         with np.errstate(divide="ignore"):
             away = here + np.log1p(-np.minimum(lattice.chance[arcs], 1.0))
         which = np.repeat(np.arange(len(size)), size)
         number = np.arange(len(arcs)) - np.repeat(first[:-1] - offset, size)
         noise = _uniform(stream_seeds[which] + np.uint64(stream * 2 + 1), number)
         score = np.where(away > -np.inf, _below(np.repeat(top, size), np.where(away > -np.inf, away, 0.0), noise), -np.inf)
-        return score, here, before + sums[first[1:]] - sums[first[:-1]]
+        return score, here, total
 
     stream_seeds = mix(seeds + np.uint64(77))
     tops = -np.log(-np.log(_uniform(stream_seeds, np.zeros(docs))))
