@@ -20,27 +20,13 @@ def matrix_gaps(outputs: DataFrame, row: str, column: str, columns: list[str]) -
     return wanted.join(outputs.select(row, column).distinct(), [row, column], "left_anti")
 
 
-def assemble(sections: DataFrame, keys: list[str], order: str, text: str, per_part: int = 1000) -> DataFrame:
-    """Documents put together from their sections, in order, as numbered parts.
+def assemble(sections: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
+    """Documents put together from their sections: rows in order of document and section, dealt by ranges.
 
-    ``order`` numbers the sections of a document; a part joins the sections of ``per_part`` consecutive numbers
-    with a line feed. So a document of any length stays a list of rows of bounded size, and its text is its parts
-    in order.
+    A document stays a list of rows, whatever its length; writing the result gives its sections one after another.
     """
-    return (
-        sections.withColumn("part", F.floor(F.col(order) / per_part))
-        .groupBy(*keys, "part")
-        .agg(
-            F.count(F.lit(1)).alias("n_sections"),
-            F.array_join(
-                F.transform(
-                    F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))),
-                    lambda s: s["t"],
-                ),
-                "\n",
-            ).alias("text"),
-        )
-    )
+    by = [*keys, order]
+    return sections.select(*by, text).repartitionByRange(*by).sortWithinPartitions(*by)
 
 
 def overlay(layers: DataFrame, keys: list[str], rank: str = "rank", value: str = "value") -> DataFrame:
@@ -58,16 +44,14 @@ def passage_key(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def shared_passages(passages: DataFrame, source: str, text: str, min_words: int = 5) -> DataFrame:
+def shared_passages(passages: DataFrame, source: str, text: str) -> DataFrame:
     """I4: near-equal passages across sources, one row per passage.
 
     Near-equal means equal but for case, punctuation and spacing. Copies are counted, never paired: each source's
     copies are reduced first, so that a passage found in a third of all texts costs one small row per source and
     map task.
     """
-    key = passages.withColumn("passage", passage_key(F.col(text))).where(
-        F.size(F.split("passage", " ")) >= min_words
-    )
+    key = passages.withColumn("passage", passage_key(F.col(text))).where(F.col("passage") != "")
     per_source = key.groupBy(F.sha2("passage", 256).alias("passage_id"), F.col(source).alias("source")).agg(
         F.count(F.lit(1)).alias("n"), F.min("passage").alias("passage")
     )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from docaudit.functions import patterns as P
 from docaudit.functions.dates import audited_date
+from docaudit.functions.text import log_verdict
 from docaudit.operators.claims import mentions
 
 
@@ -58,13 +59,14 @@ def citations(docs: DataFrame, path: str = "path", text: str = "text") -> DataFr
     )
 
 
-def citation_index(sources: DataFrame, text: str = "text") -> DataFrame:
-    """Distinct lower-cased references that occur inside source texts, as substrings.
+def citation_index(sources: DataFrame, text: str = "text", by: list[str] | None = None) -> DataFrame:
+    """Distinct lower-cased references that occur inside source texts, as substrings; per ``by`` if given.
 
     A section number also contains its shorter forms: a source with ``section 1.10`` contains
     ``section 1.1``, so every cut after a digit that leaves a dotted number is in the index.
     """
-    token = sources.select(F.explode(mentions(F.lower(F.col(text)), P.SOURCE_CITATION, 0)).alias("token"))
+    by = by or []
+    token = sources.select(*by, F.explode(mentions(F.lower(F.col(text)), P.SOURCE_CITATION, 0)).alias("token"))
     shortest = rf"(?U)^section{P.SPACE}+\d++\.\d"
     cuts = F.transform(
         F.sequence(
@@ -75,7 +77,7 @@ def citation_index(sources: DataFrame, text: str = "text") -> DataFrame:
     forms = F.when(
         F.startswith(F.col("token"), F.lit("section")), F.filter(cuts, lambda c: F.rlike(c, F.lit(r"(?U)\d\z")))
     ).otherwise(F.array("token"))
-    return token.distinct().select(F.explode(forms).alias("ref_key")).distinct()
+    return token.distinct().select(*by, F.explode(forms).alias("ref_key")).distinct()
 
 
 def citation_findings(docs: DataFrame, sources: DataFrame, path: str = "path") -> DataFrame:
@@ -93,10 +95,12 @@ def citation_findings(docs: DataFrame, sources: DataFrame, path: str = "path") -
     )
 
 
-def citation_audit(findings: DataFrame, required: bool = False) -> DataFrame:
-    return gate_result(
-        "citation_audit", required, findings, F.sum("n"), F.sum(F.when(~F.col("found"), F.col("n")))
-    )
+def citation_audit(findings: DataFrame, sources: DataFrame, required: bool = False) -> DataFrame:
+    """Skipped without a citation, and without a source to look them up in."""
+    n, missing = F.sum("n"), F.sum(F.when(~F.col("found"), F.col("n")))
+    there = sources.agg(F.count(F.lit(1)) > 0).scalar()
+    idle = F.coalesce(n, F.lit(0)) == 0
+    return gate_result("citation_audit", required, findings.withColumn("_there", there), n, missing, skipped=idle | ~F.first("_there"))
 
 
 # URLs ---------------------------------------------------------------------------------------------------------
@@ -172,13 +176,76 @@ def scope_findings_by_table(changed: DataFrame, prefixes: DataFrame, path: str =
 
 
 def scope_validation(findings: DataFrame, any_prefix: bool, required: bool = True) -> DataFrame:
+    """E5: skipped where no prefix is given, and without a changed file."""
     return gate_result(
         "scope_validation",
         required,
         findings,
         F.count(F.lit(1)),
         F.count_if(~F.col("inside")),
-        skipped=F.lit(not any_prefix),
+        skipped=F.lit(not any_prefix) | (F.count(F.lit(1)) == 0),
+    )
+
+
+def _by_profile(gate_type: str, counted: DataFrame, idle: Column) -> DataFrame:
+    """Results per profile from (name, n_checked, n_failed)."""
+    filled = counted.na.fill({"n_checked": 0, "n_failed": 0}).withColumn("skipped", idle | (F.col("n_checked") == 0))
+    count = F.format_string("%d checked, %d failed", "n_checked", "n_failed")
+    return filled.select(
+        "name",
+        F.lit(gate_type).alias("gate_type"),
+        (F.col("skipped") | (F.col("n_failed") == 0)).alias("passed"),
+        "skipped",
+        "n_checked",
+        "n_failed",
+        F.when(F.col("skipped"), "nothing to check").otherwise(count).alias("details"),
+    )
+
+
+def citation_audit_by_profile(docs: DataFrame, sources: DataFrame, names: DataFrame, truths: DataFrame) -> DataFrame:
+    """E2 per profile: citations of all documents against the sources of each; skipped where none of these exists.
+
+    ``truths`` (name, path) lists the sources of profiles. Citations are counted once, and each source is read once.
+    """
+    counted = citations(docs, "path").groupBy("ref").agg(F.count(F.lit(1)).alias("n")).withColumn("ref_key", F.lower("ref"))
+    used = sources.join(truths.distinct(), "path").select("name", "path", "text")
+    known = citation_index(used, "text", ["name"])
+    found = counted.join(known, "ref_key").groupBy("name").agg(F.sum("n").alias("n_found"))
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_checked"))
+    there = used.select("name").distinct().withColumn("there", F.lit(True))
+    per = names.withColumn("n_checked", total.scalar()).join(found, "name", "left").join(there, "name", "left")
+    per = per.withColumn("n_failed", F.col("n_checked") - F.coalesce("n_found", F.lit(0)))
+    return _by_profile("citation_audit", per, F.col("there").isNull())
+
+
+def scope_validation_by_profile(changed: DataFrame, names: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """E5 per profile, for prefixes (name, prefix); skipped where a profile has none. A path is looked up by its beginnings."""
+    unified = lambda c: F.replace(F.col(c), F.lit("\\"), F.lit("/"))
+    paths = changed.where(F.length(F.trim("path")) > 0).select("path", unified("path").alias("unified"))
+    allowed = prefixes.select("name", unified("prefix").alias("start")).distinct()
+    lengths = allowed.agg(F.collect_set(F.length("start"))).scalar()
+    fits = F.filter("lengths", lambda n: n <= F.length("unified"))
+    starts = paths.distinct().withColumn("lengths", lengths).select("path", F.explode(F.transform(fits, lambda n: F.left("unified", n))).alias("start"))
+    inside = starts.join(allowed, "start").select("name", "path").distinct()
+    hits = paths.groupBy("path").agg(F.count(F.lit(1)).alias("n")).join(inside, "path").groupBy("name").agg(F.sum("n").alias("n_inside"))
+    has = allowed.select("name").distinct().withColumn("has", F.lit(True))
+    per = names.withColumn("n_checked", paths.agg(F.count(F.lit(1))).scalar()).join(hits, "name", "left").join(has, "name", "left")
+    per = per.withColumn("n_failed", F.col("n_checked") - F.coalesce("n_inside", F.lit(0)))
+    return _by_profile("scope_validation", per, F.col("has").isNull())
+
+
+def log_gates(logs: DataFrame) -> DataFrame:
+    """Results of gates from logs (gate_type, exit_code, output) of tests and linters, one per gate type."""
+    judged = logs.withColumn("verdict", log_verdict(F.col("exit_code"), F.col("output")))
+    failed, ran = F.count_if(F.col("verdict") == "FAIL"), F.count_if(F.col("verdict") != "SKIP")
+    return judged.groupBy("gate_type").agg(ran.alias("n_checked"), failed.alias("n_failed")).select(
+        "gate_type",
+        F.lit(False).alias("required"),
+        (F.col("n_failed") == 0).alias("passed"),
+        (F.col("n_checked") == 0).alias("skipped"),
+        "n_checked",
+        "n_failed",
+        F.format_string("%d logs, %d failed", "n_checked", "n_failed").alias("details"),
     )
 
 
@@ -241,23 +308,21 @@ def string_coverage(findings: DataFrame, required: bool = False) -> DataFrame:
     )
 
 
-def missing_keys(entries: DataFrame, base: Column, by: list[str] | None = None, shards: int = 64) -> DataFrame:
+def missing_keys(entries: DataFrame, base: Column, by: list[str] | None = None) -> DataFrame:
     """Which keys of the base each locale lacks.
 
     ``entries`` holds (project columns ``by``, ``locale``, ``key``); ``base`` marks rows of the base locale. Every
-    locale meets every base key of its project, which is as many rows as present and missing keys together. Base
-    keys are split into shards and locales repeated per shard, so one large project is not one task.
+    locale meets every base key of its project, which is as many rows as present and missing keys together. A project
+    has few locales, so they are one row that each of its base keys looks up, and its keys stay where they are.
     """
     by = by or []
-    rows = entries.withColumn("_base", base).select(*by, "locale", "key", "_base").distinct()
-    shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")
-    wanted = rows.where("_base").select(*by, "key").distinct().withColumn("_shard", shard)
-    locales = rows.where(~F.col("_base")).select(*by, "locale").distinct()
-    repeated = locales.withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    present = rows.select(*by, "locale", "key")
-    return (
-        wanted.join(repeated, [*by, "_shard"]).join(present, [*by, "locale", "key"], "left_anti").select(*by, "locale", "key")
-    )
+    rows = entries.withColumn("_base", base)
+    wanted = rows.where("_base").select(*by, "key").distinct()
+    locales = rows.where(~F.col("_base")).groupBy(*by).agg(F.collect_set("locale").alias("_locales"))
+    looked = wanted.join(locales, by) if by else wanted.withColumn("_locales", locales.select("_locales").scalar())
+    present = rows.select(*by, "locale", "key").distinct()
+    asked = looked.select(*by, F.explode("_locales").alias("locale"), "key")
+    return asked.join(present, [*by, "locale", "key"], "left_anti")
 
 
 # Verdict ------------------------------------------------------------------------------------------------------

@@ -111,7 +111,7 @@ def first_answers(comments: DataFrame) -> DataFrame:
 
 
 def answer_tracks(tracks: DataFrame, answers: DataFrame, as_of: Column) -> DataFrame:
-    """H5: tracks with their awaiting questions answered; ``updated_at`` is set where one was.
+    """H5: tracks of polled issues with their awaiting questions answered; ``updated_at`` is set where one was.
 
     The answers of the agents a track waits for are gathered as one map per track, no larger than its questions.
     """
@@ -119,6 +119,7 @@ def answer_tracks(tracks: DataFrame, answers: DataFrame, as_of: Column) -> DataF
     asked = tracks.select(
         "track_id", F.col("github_issue.number").alias("issue_number"), F.explode("active_questions").alias("question")
     ).where(F.col("question.status") == waiting)
+    asked = asked.join(issues_awaiting(tracks).select("issue_number"), "issue_number", "left_semi")
     replies = (
         asked.select("track_id", "issue_number", F.col("question.agent").alias("agent"))
         .distinct()

@@ -33,11 +33,16 @@ def _filled(c: str) -> Column:
 
 def run_starts(events: DataFrame) -> DataFrame:
     """where each run's present state begins: its first init or its last forced one, whichever is later."""
-    inits = events.where(F.col("op") == "init")
-    forced = _forced(events)
-    return inits.groupBy("run_id").agg(
-        F.greatest(F.min("seq"), F.max(F.when(forced, F.col("seq")))).alias("start_seq"),
-        F.greatest(F.min("ts"), F.max(F.when(forced, F.col("ts")))).alias("created_at"),
+    inits = events.where(F.col("op") == "init").withColumn("_forced", _forced(events))
+    last_forced = F.when(F.col("_forced"), F.col("seq"))
+    starts = inits.groupBy("run_id").agg(
+        F.min("seq").alias("first_seq"), F.min_by("ts", "seq").alias("first_ts"), F.max(last_forced).alias("forced_seq"), F.max_by("ts", last_forced).alias("forced_ts")
+    )
+    again = F.col("forced_seq") > F.col("first_seq")
+    return starts.select(
+        "run_id",
+        F.when(again, F.col("forced_seq")).otherwise(F.col("first_seq")).alias("start_seq"),
+        F.when(again, F.col("forced_ts")).otherwise(F.col("first_ts")).alias("created_at"),
     )
 
 

@@ -1,4 +1,4 @@
-"""The reference workflows from end to end, each as lazily planned DataFrames."""
+"""Whole workflows from end to end, each as lazily planned DataFrames."""
 
 from __future__ import annotations
 
@@ -54,35 +54,43 @@ def run_gates(
     sources: DataFrame,
     locales: DataFrame,
     changed: DataFrame,
-    prefixes: DataFrame,
     as_of: Column,
-    any_prefix: bool = True,
+    logs: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Results of the gates a profile lists, and the verdict per profile.
+    """Results of the gates each profile lists, with its own sources and allowed folders, and the verdict per profile.
 
-    ``profiles`` comes from ``read_profiles``. Each audit is planned once for all of them; their gates say which
-    count and whether they are required. Gates without an audit here are skipped; a profile without
+    ``profiles`` comes from ``read_profiles``; ``sources`` (path, text) holds the files that ``shared_truth`` names,
+    ``changed`` (path) the changed files, ``logs`` (gate_type, exit_code, output) the logs of tests and linters. What is
+    found in documents is found once for all profiles. Gates without an audit or log are skipped; a profile without
     deterministic gates passes with the label ``no_gates``.
     """
     gates = deterministic_gates(profiles)
     keyed = audits.locale_keys(locales)
-    every = [
-        audits.citation_audit(audits.citation_findings(docs, sources)),
+    common = [
         audits.source_verification(audits.url_findings(docs)),
         audits.recency_check(audits.date_findings(docs, as_of)),
-        audits.scope_validation(audits.scope_findings_by_table(changed, prefixes), any_prefix),
         audits.string_coverage(audits.coverage_findings(keyed)),
     ]
-    results = every[0]
-    for one in every[1:]:
+    if logs is not None:
+        common.append(audits.log_gates(logs))
+    results = common[0]
+    for one in common[1:]:
         results = results.unionByName(one)
+    names = profiles.select("name")
+    own = audits.citation_audit_by_profile(docs, sources, names, profiles.select("name", F.explode(F.map_values("shared_truth")).alias("path")))
+    scopes = gates.where(F.col("gate_type") == "scope_validation").select("name", F.explode("commit_scope").alias("prefix"))
+    own = own.unionByName(audits.scope_validation_by_profile(changed, names, scopes))
+    wide = ["passed", "skipped", "n_checked", "n_failed", "details"]
+    asked = gates.select("name", "ord", "gate_type", "required")
+    shared = asked.join(results.drop("required"), "gate_type", "left")
+    mine = asked.join(own, ["name", "gate_type"]).select("name", "ord", *[F.col(c).alias(f"own_{c}") for c in wide])
     listed = (
-        gates.select("name", "ord", "gate_type", "required")
-        .join(results.drop("required"), "gate_type", "left")
+        shared.join(mine, ["name", "ord"], "left")
+        .select("name", "ord", "gate_type", "required", *[F.coalesce(f"own_{c}", c).alias(c) for c in wide])
         .withColumn("details", F.coalesce("details", F.concat(F.lit("no audit for this gate: "), F.col("gate_type"))))
         .na.fill({"passed": True, "skipped": True, "n_checked": 0, "n_failed": 0})
     )
-    verdicts = profiles.select("name").join(audits.verdict(listed, ["name"]), "name", "left")
+    verdicts = names.join(audits.verdict(listed, ["name"]), "name", "left")
     return listed, verdicts.na.fill({"verdict": "no_gates", "exit_code": 0}).na.fill(0)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,17 +14,51 @@ from docaudit.sources.files import read_files
 
 
 def parse_files(files: DataFrame, schema: T.StructType) -> DataFrame:
-    """Whole files parsed as one JSON object each; ``_bad`` holds the text of those that are none."""
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    """Whole files parsed as one JSON object each; ``_bad`` holds the text of those that are none.
+
+    Fields are read as text and cast one by one, so a value of another type is null and costs nothing else.
+    """
     text = F.make_valid_utf8(F.col("content").cast("string"))
-    return files.select(
-        F.col("path").alias("file"), F.col("modified").alias("file_time"), F.from_json(text, schema, options).alias("j")
-    ).select("file", "file_time", "j.*")
+    no_object = F.try_parse_json(text).isNull() | F.json_object_keys(text).isNull()
+    kept = T.StructType([f for f in schema if f.name != "_bad"])
+    parsed = files.select(
+        F.col("path").alias("file"),
+        F.col("modified").alias("file_time"),
+        F.when(no_object, text).alias("_bad"),
+        F.when(~no_object, F.from_json(text, _as_text(kept), {"mode": "PERMISSIVE"})).alias("j"),
+    )
+    return parsed.select("file", "file_time", *[_typed(F.col("j")[f.name], f.dataType).alias(f.name) for f in kept], "_bad")
+
+
+def _as_text(kind: T.DataType) -> T.DataType:
+    """The same shape with text in all places that hold a single value."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _as_text(f.dataType)) for f in kind])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_as_text(kind.elementType))
+    if isinstance(kind, T.MapType):
+        return T.MapType(T.StringType(), _as_text(kind.valueType))
+    return T.StringType()
+
+
+def _typed(c: Column, kind: T.DataType) -> Column:
+    """Text values cast to their types, null where they do not fit."""
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[_typed(c[f.name], f.dataType).alias(f.name) for f in kind]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _typed(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, x: _typed(x, kind.valueType))
+    return c if isinstance(kind, T.StringType) else c.try_cast(kind)
 
 
 def read_claims(spark: SparkSession, root: str) -> DataFrame:
-    """Claims files as (path, claims); unreadable ones and those without a ``claims`` array drop out."""
-    files = read_files(spark, root).where(F.endswith(F.col("path"), F.lit(".claims.json")))
+    """Claims files as (path, claims); files that are no JSON object or have no ``claims`` array drop out."""
+    return parse_claims(read_files(spark, root, "*.claims.json"))
+
+
+def parse_claims(files: DataFrame) -> DataFrame:
+    """Claims of files given as (path, content, modified)."""
     parsed = parse_files(files, schemas.CLAIMS_FILE)
     return parsed.where(F.col("_bad").isNull() & F.col("claims").isNotNull()).select(F.col("file").alias("path"), "claims")
 
@@ -34,7 +68,7 @@ def read_locales(spark: SparkSession, root: str) -> DataFrame:
     inside = F.rlike(
         F.col("path"), F.lit(rf"(?i)(?:^|/)(?:{'|'.join(P.LOCALE_DIRECTORIES)})/")
     )
-    files = read_files(spark, root).where(inside & (suffix(F.col("path")) == "json"))
+    files = read_files(spark, root, "*.[jJ][sS][oO][nN]").where(inside & (suffix(F.col("path")) == "json"))
     return files.select(
         F.col("path").alias("locale_file"), F.make_valid_utf8(F.col("content").cast("string")).alias("json")
     )
@@ -42,7 +76,11 @@ def read_locales(spark: SparkSession, root: str) -> DataFrame:
 
 def read_profiles(spark: SparkSession, root: str) -> DataFrame:
     """Profile files with their name."""
-    files = read_files(spark, root).where(suffix(F.col("path")) == "json")
+    return parse_profiles(read_files(spark, root, "*.[jJ][sS][oO][nN]"))
+
+
+def parse_profiles(files: DataFrame) -> DataFrame:
+    """Profiles of files given as (path, content, modified)."""
     name = F.regexp_extract("file", r"([^/]+)\.[^./]+$", 1)
     return parse_files(files, schemas.PROFILE).withColumn("name", name)
 
@@ -54,7 +92,8 @@ def deterministic_gates(profiles: DataFrame) -> DataFrame:
         "name",
         "ord",
         F.coalesce("gate.type", F.lit("unknown")).alias("gate_type"),
-        F.coalesce("gate.required", F.lit(False)).alias("required"),
+        # Changes outside the allowed folders block unless the profile says otherwise.
+        F.coalesce("gate.required", F.col("gate.type").eqNullSafe("scope_validation")).alias("required"),
         F.col("gate.commit_scope").alias("commit_scope"),
     )
 
@@ -72,7 +111,11 @@ def profile_limits(profiles: DataFrame) -> DataFrame:
 
 def read_tracks(spark: SparkSession, root: str) -> DataFrame:
     """One row per track folder: metadata, its error if it cannot be parsed, and the plan text."""
-    files = read_files(spark, root)
+    return parse_tracks(read_files(spark, root, "{metadata.json,plan.md}"))
+
+
+def parse_tracks(files: DataFrame) -> DataFrame:
+    """Tracks of files given as (path, content, modified)."""
     track = F.regexp_extract("path", r"(?:^|/)([^/]+)/(?:metadata\.json|plan\.md)$", 1)
     meta = (
         parse_files(files.where(F.endswith(F.col("path"), F.lit("/metadata.json"))), schemas.TRACK_METADATA)

@@ -43,14 +43,13 @@ def both_layers(spark):
     return claims.all_claims(claims.structured_claims(files), claims.text_claims(docs)).cache()
 
 
-def counts(points, **how):
-    return {r.severity: int(r.n) for r in contradictions.severity_counts(contradictions.group_conflicts(points, **how)).collect()}
+def counts(points):
+    return {r.severity: int(r.n) for r in contradictions.severity_counts(contradictions.group_conflicts(points)).collect()}
 
 
 def test_severity_counts(both_layers):
     points = contradictions.claim_points(both_layers)
     assert counts(points) == {"HIGH": 15, "MEDIUM": 1, "LOW": 1}
-    assert counts(points, limit=1) == {"HIGH": 15, "MEDIUM": 1, "LOW": 1}
     assert contradictions.is_blocked(points).first().blocked
     assert counts(contradictions.claim_points(both_layers, attribute_conflicts=True)) == {"HIGH": 16, "MEDIUM": 1, "LOW": 1}
 
@@ -156,10 +155,12 @@ def test_citations(spark):
     sources = spark.createDataFrame([("s", "xSection 1.10 and Article 5(2)")], "name string, text string")
     found = audits.citation_findings(docs, sources)
     assert {r.ref for r in found.where("not found").collect()} == {"Section 2.1", "Article 5 (2)"}
-    result = audits.citation_audit(found, required=True).first()
+    result = audits.citation_audit(found, sources, required=True).first()
     assert (result.n_checked, result.n_failed, result.passed, result.skipped) == (4, 2, False, False)
-    none = audits.citation_audit(audits.citation_findings(docs.limit(0), sources)).first()
+    none = audits.citation_audit(audits.citation_findings(docs.limit(0), sources), sources).first()
     assert none.passed and none.skipped
+    nowhere = audits.citation_audit(audits.citation_findings(docs, sources.limit(0)), sources.limit(0), required=True).first()
+    assert nowhere.passed and nowhere.skipped
 
 
 def test_urls(spark):
@@ -309,8 +310,7 @@ def test_assembly(spark):
     out = spark.createDataFrame([("en", "a", "1"), ("en", "b", "2"), ("de", "a", "3")], "row string, col string, v string")
     assert [tuple(r) for r in assembly.matrix_gaps(out, "row", "col", ["a", "b"]).collect()] == [("de", "b")]
     sections = spark.createDataFrame([("d", 1, "two"), ("d", 0, "one"), ("d", 2, "three")], "doc string, ord int, text string")
-    parts = assembly.assemble(sections, ["doc"], "ord", "text", per_part=2).orderBy("part").collect()
-    assert [r.text for r in parts] == ["one\ntwo", "three"]
+    assert [r.text for r in assembly.assemble(sections, ["doc"], "ord", "text").collect()] == ["one", "two", "three"]
     passages = spark.createDataFrame([("s1", "A b, c d E!"), ("s2", "a B c  d e"), ("s2", "other words are not shared")], "source string, text string")
     got = assembly.shared_passages(passages, "source", "text").collect()
     assert [(r.passage, r.n_sources, r.n_copies) for r in got] == [("a b c d e", 2, 2)]

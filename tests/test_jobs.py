@@ -28,25 +28,66 @@ def test_cross_validation_of_files(spark, tmp_path):
     found = jobs.cross_validate(texts, records.read_claims(spark, str(root)))
     assert {r.severity: int(r.n) for r in found.counts.collect()} == {"HIGH": 15, "MEDIUM": 0, "LOW": 1}
     assert found.blocked.first().blocked
-    lines = reports.report_lines(found.counts, D.partners(found.points, found.points), "now", top=5)
+    lines = reports.report_lines(found.counts, D.contested_claims(found.points), "now")
     reports.write_report(lines, str(tmp_path / "report"))
     text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "report")).collect())
-    assert "| HIGH | 15 |" in text and "blocked" in text and text.count("### HIGH") == 5
+    assert "- HIGH: 15 findings" in text and "Do not merge" in text
+    # Four numbers and a date in each report, and both values of the widget.
+    assert text.count("## HIGH") == 10 and text.count("## LOW") == 2
 
 
 def test_gates_of_profiles(spark, tmp_path):
-    gates = [{"type": "recency_check", "mechanism": "deterministic", "required": True}, {"type": "lint", "mechanism": "deterministic"}]
-    put(tmp_path, "p/one.json", json.dumps({"quality_gates": gates}))
-    put(tmp_path, "p/two.json", json.dumps({"quality_gates": [{"type": "review", "mechanism": "heuristic"}]}))
-    docs = spark.createDataFrame([("d", "on 2020-01-01")], "path string, text string")
-    empty = spark.createDataFrame([], "name string, text string")
+    det = lambda kind, **more: {"type": kind, "mechanism": "deterministic", **more}
+    profiles = {
+        "one": {"quality_gates": [det("recency_check", required=True), det("lint"), det("unit_tests", required=True)]},
+        "two": {"quality_gates": [{"type": "review", "mechanism": "heuristic"}]},
+        "cited": {"quality_gates": [det("citation_audit", required=True)], "shared_truth": {"law": "law.md", "gone": "gone.md"}},
+        "other": {"quality_gates": [det("citation_audit", required=True)], "shared_truth": {"memo": "memo.md"}},
+        "unsourced": {"quality_gates": [det("citation_audit", required=True)], "shared_truth": {"gone": "gone.md"}},
+        "scoped": {"quality_gates": [det("scope_validation", commit_scope=["src/"])]},
+        "wide": {"quality_gates": [det("scope_validation", commit_scope=["src/", "doc"])]},
+        "free": {"quality_gates": [det("scope_validation")]},
+    }
+    for name, profile in profiles.items():
+        put(tmp_path, f"p/{name}.json", json.dumps(profile))
+    docs = spark.createDataFrame([("d", "on 2020-01-01, Section 1.1 and Section 1.1")], "path string, text string")
+    sources = spark.createDataFrame([("law.md", "Section 1.1"), ("memo.md", "Section 2.2")], "path string, text string")
     locales = spark.createDataFrame([], "locale_file string, json string")
-    changed, prefixes = spark.createDataFrame([], "path string"), spark.createDataFrame([], "prefix string")
-    listed, verdicts = jobs.run_gates(
-        records.read_profiles(spark, str(tmp_path / "p")), docs, empty, locales, changed, prefixes, F.lit("2026-12-01 00:00:00"), False
-    )
-    assert {(r.gate_type, r.passed, r.skipped) for r in listed.collect()} == {("recency_check", False, False), ("lint", True, True)}
-    assert {r.name: (r.verdict, r.exit_code) for r in verdicts.collect()} == {"one": ("blocked", 1), "two": ("no_gates", 0)}
+    changed = spark.createDataFrame([("src/a.py",), ("doc\\b.md",)], "path string")
+    logs = spark.createDataFrame([("unit_tests", 1, "2 failed"), ("unit_tests", 0, "ok")], "gate_type string, exit_code int, output string")
+    listed, verdicts = jobs.run_gates(records.read_profiles(spark, str(tmp_path / "p")), docs, sources, locales, changed, F.lit("2026-12-01 00:00:00"), logs)
+    got = {(r.name, r.gate_type): (r.required, r.passed, r.skipped, r.n_checked, r.n_failed) for r in listed.collect()}
+    assert got == {
+        ("one", "recency_check"): (True, False, False, 1, 1),
+        ("one", "lint"): (False, True, True, 0, 0),
+        ("one", "unit_tests"): (True, False, False, 2, 1),
+        ("cited", "citation_audit"): (True, True, False, 2, 0),
+        ("other", "citation_audit"): (True, False, False, 2, 2),
+        ("unsourced", "citation_audit"): (True, True, True, 2, 2),
+        ("scoped", "scope_validation"): (True, False, False, 2, 1),
+        ("wide", "scope_validation"): (True, True, False, 2, 0),
+        ("free", "scope_validation"): (True, True, True, 2, 2),
+    }
+    assert {r.name: r.exit_code for r in verdicts.collect()} == {"one": 1, "two": 0, "cited": 0, "other": 1, "unsourced": 2, "scoped": 1, "wide": 0, "free": 2}
+
+
+def test_values_of_other_types_cost_only_themselves(spark, tmp_path):
+    claim = {"entity": "Widget", "attribute": "numeric", "value": 100}
+    put(tmp_path, "a.claims.json", json.dumps({"claims": [claim | {"confidence": "high"}, claim | {"value": "7"}]}))
+    put(tmp_path, "b.claims.json", "[1]")
+    got = records.read_claims(spark, str(tmp_path)).collect()
+    assert [(r.path, [(c.value, c.confidence) for c in r.claims]) for r in got] == [("a.claims.json", [("100", None), ("7", None)])]
+    put(tmp_path, "t/x/metadata.json", json.dumps({"status": "active", "github_issue": {"number": "12"}}))
+    put(tmp_path, "t/y/metadata.json", json.dumps({"status": 5, "github_issue": "none"}))
+    tracks = {r.track_id: (r.status, r.github_issue and r.github_issue.number, r.metadata_error) for r in records.read_tracks(spark, str(tmp_path / "t")).collect()}
+    assert tracks == {"x": ("active", 12, None), "y": ("5", None, None)}
+
+
+def test_only_the_own_report_is_left_out(spark, tmp_path):
+    for name in ("contradiction_report.md", "contradiction_report_notes/a.md", "b/contradiction_report.md"):
+        put(tmp_path, f"tmp/{tmp_path.name}/{name}", "x")
+    texts = files.read_texts(spark, str(tmp_path / "tmp" / tmp_path.name))
+    assert {r.path for r in texts.collect()} == {"contradiction_report_notes/a.md", "b/contradiction_report.md"}
 
 
 def test_sanitized_copy(spark, tmp_path):

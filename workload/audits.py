@@ -40,7 +40,7 @@ def citation_findings(spark, d):
 
 
 def citation_gate(spark, d):
-    return audits.citation_audit(citation_findings(spark, d), required=True)
+    return audits.citation_audit(citation_findings(spark, d), _sources(spark, d), required=True)
 
 
 def _linked(spark, d):
@@ -207,8 +207,7 @@ def matrix_gaps(spark, d):
 
 def assembled_documents(spark, d):
     c = table(spark, d, "conversations")
-    parts = assembly.assemble(c, ["conv_id"], "turn", "text", per_part=4)
-    return parts.select("conv_id", "part", "n_sections", F.md5("text").alias("text_md5"))
+    return assembly.assemble(c, ["conv_id"], "turn", "text").select("conv_id", "turn", F.md5("text").alias("text_md5"))
 
 
 def overlaid_settings(spark, d):
@@ -324,8 +323,7 @@ QUERIES = {
     ),
     "assembled_documents": (
         assembled_documents,
-        """SELECT conv_id, (turn // 4)::BIGINT AS part, count(*) AS n_sections, md5(string_agg(text, chr(10) ORDER BY turn)) AS text_md5
-        FROM conversations GROUP BY 1, 2""",
+        "SELECT conv_id, turn, md5(text) AS text_md5 FROM conversations",
     ),
     "overlaid_settings": (
         overlaid_settings,

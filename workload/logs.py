@@ -329,11 +329,11 @@ QUERIES = {
     ),
     "answered_tracks": (
         answered_tracks,
-        f"""WITH {_TAGS_SQL}, {_ANSWER_SQL}, {_TRACK_SQL},
+        f"""WITH {_TAGS_SQL}, {_ANSWER_SQL}, {_TRACK_SQL}, {_AWAIT_SQL},
         j AS (SELECT track_id, s1, s2, CASE WHEN s1 = 'awaiting_human' THEN a1.first_answer END AS r1,
                 CASE WHEN s2 = 'awaiting_human' THEN a2.first_answer END AS r2
-              FROM tr LEFT JOIN a a1 ON a1.issue_number = number AND a1.agent = 'Ann0'
-                      LEFT JOIN a a2 ON a2.issue_number = number AND a2.agent = 'bot' || (k % 5))
+              FROM tr LEFT JOIN (SELECT * FROM a WHERE issue_number IN (SELECT issue_number FROM wait)) a1 ON a1.issue_number = number AND a1.agent = 'Ann0'
+                      LEFT JOIN (SELECT * FROM a WHERE issue_number IN (SELECT issue_number FROM wait)) a2 ON a2.issue_number = number AND a2.agent = 'bot' || (k % 5))
         SELECT track_id, CASE WHEN coalesce(r1, r2) IS NULL THEN '2020-01-01T00:00:00Z' ELSE '2026-12-01T00:00:00Z' END AS updated_at,
             CASE WHEN r1 IS NULL THEN s1 ELSE 'answered' END || ',' || CASE WHEN r2 IS NULL THEN s2 ELSE 'answered' END AS statuses,
             r1 AS first_answer, r2 AS second_answer FROM j""",

@@ -198,7 +198,7 @@ QUERIES = {
         """WITH l AS (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents),
         k AS (SELECT source, trim(regexp_replace(lower(line), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS passage FROM l)
         SELECT passage, count(DISTINCT source) AS n_sources, count(*) AS n_copies, min(source) AS first_source
-        FROM k WHERE len(string_split(passage, ' ')) >= 5
+        FROM k WHERE passage <> ''
         GROUP BY passage HAVING count(DISTINCT source) > 1""",
     ),
 }
