@@ -19,7 +19,8 @@ WIDTH = 1_000_000
 AGENT = ["run_id", "agent_id"]
 
 
-def _forced(events: DataFrame) -> Column:
+def is_forced(events: DataFrame) -> Column:
+    """Whether an init replaces a state that exists."""
     return F.coalesce(F.col("forced"), F.lit(False)) if "forced" in events.columns else F.lit(False)
 
 
@@ -33,7 +34,7 @@ def _filled(c: str) -> Column:
 
 def run_starts(events: DataFrame) -> DataFrame:
     """where each run's present state begins: its first init or its last forced one, whichever is later."""
-    inits = events.where(F.col("op") == "init").withColumn("_forced", _forced(events))
+    inits = events.where(F.col("op") == "init").withColumn("_forced", is_forced(events))
     last_forced = F.when(F.col("_forced"), F.col("seq"))
     starts = inits.groupBy("run_id").agg(
         F.min("seq").alias("first_seq"), F.min_by("ts", "seq").alias("first_ts"), F.max(last_forced).alias("forced_seq"), F.max_by("ts", last_forced).alias("forced_ts")
@@ -52,7 +53,7 @@ def with_epochs(events: DataFrame, width: int = WIDTH) -> DataFrame:
     Accepted inits are the first of a run and every forced one. Each stretch of a run carries the inits inside
     it and the last one before it; events look their stretch up, so no run is ordered as a whole.
     """
-    forced = _forced(events)
+    forced = is_forced(events)
     inits = events.where(F.col("op") == "init").select("run_id", "seq", forced.alias("forced"))
     first = inits.groupBy("run_id").agg(F.min("seq").alias("first_seq"))
     accepted = inits.join(first, "run_id").where(F.col("forced") | (F.col("seq") == F.col("first_seq")))
