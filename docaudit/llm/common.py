@@ -77,3 +77,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
     share = min(1.0, bound / total) if total else 1.0
     rows = rows.filter(F.pmod(F.xxhash64(F.lit("sample"), "k"), F.lit(1 << 20)) < int(share * (1 << 20)))
     return docs.select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(rows), "k").select("text", "y")
+
+
+#: Slots of a filter of keys: 2 ** 23 bits, one MB, whatever the input's size.
+FILTER_BITS = 1 << 23
+
+
+def _slot(*keys: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit("slot"), *keys), F.lit(FILTER_BITS))
+
+
+def key_filter(rows: DataFrame, *keys: str) -> Column:
+    """A filter of fixed size, as one value: for each of 256 buckets the bits of the slots of the keys that occur; null without rows."""
+    slots = rows.select(_slot(*map(F.col, keys)).alias("slot"))
+    bits = slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    return bits.agg(F.map_from_entries(F.collect_list(F.struct("bucket", "bits")))).scalar()
+
+
+def in_filter(found: Column, *keys: Column) -> Column:
+    """Whether the filter has the keys' slot: true for all keys put in, and for a few others."""
+    slot = _slot(*keys)
+    place = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.element_at(found, F.bitmap_bucket_number(slot)).substr((F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10)
+    return F.coalesce(F.getbit(byte.cast("long"), (place % 8).cast("int")) == 1, F.lit(False))

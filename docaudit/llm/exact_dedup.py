@@ -7,27 +7,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Slots of the filter of repeated values: 2 ** 23 bits, one MB, whatever the input's size.
-FILTER_BITS = 1 << 23
+from docaudit.llm.common import in_filter, key_filter
 
-
-def _slot(*keys: Column) -> Column:
-    return F.pmod(F.xxhash64(F.lit("slot"), *keys), F.lit(FILTER_BITS))
-
-
-def _repeated(rows: DataFrame, *keys: str) -> Column:
-    """A filter of fixed size, as one value: for each of 256 buckets the bits of the slots of keys that two rows or more have."""
-    twice = rows.groupBy(*keys).count().filter("count > 1").select(_slot(*map(F.col, keys)).alias("slot"))
-    bits = twice.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-    return bits.agg(F.map_from_entries(F.collect_list(F.struct("bucket", "bits")))).scalar()
-
-
-def _maybe(found: Column, *keys: Column) -> Column:
-    """Whether the filter has the keys' slot; true for all repeated keys, and for a few others."""
-    slot = _slot(*keys)
-    place = F.bitmap_bit_position(slot)
-    byte = F.conv(F.hex(F.element_at(found, F.bitmap_bucket_number(slot)).substr((F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.call_function("getbit", byte.cast("long"), (place % 8).cast("int")) == 1, F.lit(False))
+def _repeated(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).count().filter("count > 1").select(*keys)
 
 
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", prefix: int = 64, carry: Mapping[str, Column] | None = None) -> DataFrame:
@@ -47,11 +30,11 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", prefix
     names = {f"c{i}": name for i, name in enumerate(carry)}
     content = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("id"), content.alias("text"), F.octet_length(content).alias("bytes"), *[c.alias(n) for n, c in zip(names, carry.values())])
-    lengths = _repeated(rows, "bytes")
-    same_length = _maybe(lengths, F.col("bytes"))
+    lengths = key_filter(_repeated(rows, "bytes"), "bytes")
+    same_length = in_filter(lengths, F.col("bytes"))
     begun = F.xxhash64(F.substring("text", 1, prefix))
-    prefixes = _repeated(rows.filter(same_length).select("bytes", begun.alias("begun")), "bytes", "begun")
-    whole = F.when(same_length, F.when(_maybe(prefixes, F.col("bytes"), begun), F.sha2(F.col("text").cast("binary"), 256)))
+    prefixes = key_filter(_repeated(rows.filter(same_length).select("bytes", begun.alias("begun")), "bytes", "begun"), "bytes", "begun")
+    whole = F.when(same_length, F.when(in_filter(prefixes, F.col("bytes"), begun), F.sha2(F.col("text").cast("binary"), 256)))
     rows = rows.select("id", *names, whole.alias("whole"))
     groups = rows.filter("whole IS NOT NULL").groupBy("whole").agg(F.max("id").alias("keep"), F.count("*").alias("group_size")).filter("group_size > 1")
     # Rows without a hash get a key that no group has, so that they do not meet in one task.

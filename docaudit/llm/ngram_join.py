@@ -8,6 +8,7 @@ shared shingles asked for, at which its estimated cost is lowest; a pair goes by
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.llm.bytetext import blank_table, fold_table, mix, shingles, utf8, words
-from docaudit.llm.common import SharedTable, arrow_map, kept
+from docaudit.llm.common import SharedTable, arrow_map, in_filter, kept, key_filter
 
-#: Counters of the table of estimated shingle frequencies; its size does not depend on the input.
-SLOTS = 1 << 18
+#: Counters of the table of estimated shingle frequencies, and how many of them are sent at once; neither depends on the input.
+SLOTS, RANGE = 1 << 22, 1 << 14
 #: Largest number of shared prefix shingles that a document may ask for.
 MOST_MATCHES = 4
 #: Documents expected in one part of a prefix list in the first round of verification.
@@ -47,35 +48,65 @@ def _node(own: np.ndarray, salt: int) -> int:
 
 def _count_slots(width: int):
     def run(batches):
-        counts = np.zeros(SLOTS, np.int64)
+        counts = np.zeros(SLOTS, np.uint32)
         for batch in batches:
             own = list(_sets(batch.column("text"), width))
             if own:
-                counts += np.bincount((np.concatenate(own) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-        slots = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(counts[slots])], ["slot", "n"])
+                counts += np.bincount((np.concatenate(own) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
+        for low in range(0, SLOTS, RANGE):
+            part = counts[low : low + RANGE]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([low // RANGE], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])], ["range", "counts"])
 
     return run
 
 
+def _add_slots(batches):
+    """Sums of the counters of each range; a task holds those of its ranges only."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for at, counts in zip(batch.column("range").to_pylist(), batch.column("counts").to_pylist()):
+            own = sums.setdefault(at, np.zeros(RANGE, np.uint64))
+            own += np.frombuffer(zlib.decompress(counts), np.uint32)
+    for at, own in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([zlib.compress(own.tobytes(), 1)])], ["range", "counts"])
+
+
 def shingle_weights(docs: DataFrame, width: int, text: str) -> np.ndarray:
     """How many documents have the shingles of each slot, over all documents; SLOTS numbers, whatever the input's size."""
-    parts = arrow_map(docs.select(F.col(text).alias("text")), _count_slots(width), "slot int, n long")
-    rows = parts.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(SLOTS, np.int64)
-    counts[rows["slot"].to_numpy()] = rows["n"].to_numpy()
-    return counts
+    parts = arrow_map(docs.select(F.col(text).alias("text")), _count_slots(width), "range int, counts binary")
+    rows = arrow_map(parts.repartition("range"), _add_slots, "range int, counts binary").toArrow()
+    counts = np.zeros(SLOTS, np.uint64)
+    for at, own in zip(rows["range"].to_pylist(), rows["counts"].to_pylist()):
+        counts[at * RANGE : (at + 1) * RANGE] = np.frombuffer(zlib.decompress(own), np.uint64)
+    return np.minimum(counts, np.iinfo(np.uint32).max).astype(np.uint32)
+
+
+def _sketch(own: np.ndarray) -> bytes:
+    """Bits that the shingles switch, four to eight per shingle: shingles that two sets share cancel out when their sketches are compared."""
+    bits = max(64, 1 << (4 * len(own) - 1).bit_length())
+    switched = np.bincount((mix(own ^ np.uint64(3)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(switched.astype(np.uint8)).tobytes()
+
+
+def _apart(a: bytes, b: bytes) -> int:
+    """At least so many shingles are in one of two sets only. The longer sketch is folded to the length of the shorter one."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if len(x) > len(y):
+        x, y = y, x
+    return int(np.bitwise_count(np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0) ^ x).sum())
 
 
 def _describe(width: int):
     def run(batches):
         for batch in batches:
-            sizes, nodes, checks = [], [], []
+            sizes, nodes, checks, sketches = [], [], [], []
             for own in _sets(batch.column("text"), width):
                 sizes.append(len(own))
+                sketches.append(_sketch(own) if len(own) else b"")
                 nodes.append(_node(own, 1))
                 checks.append(_node(own, 2))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.array(sizes, pa.int32()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64())], ["id", "digest", "size", "node", "check"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.array(sizes, pa.int32()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(sketches, pa.binary())], ["id", "digest", "size", "node", "check", "sketch"])
 
     return run
 
@@ -100,7 +131,8 @@ def pick_matches(likely: np.ndarray, size: int, least: int, most: int = MOST_MAT
 def _prefixes(width: int, percent: int, counts):
     def run(batches):
         own_counts = counts.value
-        usual = own_counts.mean() + 4 * math.sqrt(own_counts.mean() + 1)
+        mean = float(own_counts.mean())
+        usual = math.ceil(mean + 4 * math.sqrt(mean + 1))
         seen: set[int] = set()
         for batch in batches:
             out: list[list[np.ndarray]] = []
@@ -113,7 +145,7 @@ def _prefixes(width: int, percent: int, counts):
                 least = -(-percent * size // 100)
                 slots = own_counts[(own & np.uint64(SLOTS - 1)).astype(np.int64)]
                 longest = min(size, size - least + MOST_MATCHES)
-                common = np.maximum(slots - usual, 0).astype(np.int64)
+                common = np.maximum(slots.astype(np.int64) - usual, 0)
                 order = np.lexsort((own, common))[:longest]
                 likely = common[order] + 1
                 many = pick_matches(likely, size, least)
@@ -187,6 +219,19 @@ def _counted(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("l").alias("l")).filter("n >= l").select("a", "b")
 
 
+def _may_link(percent: int):
+    """Pairs whose sketches leave room for a link: what two sets share is at most half of their sizes less what is in one only."""
+
+    def run(batches):
+        for batch in batches:
+            total = batch.column("a_size").to_numpy().astype(np.int64) + batch.column("b_size").to_numpy()
+            apart = np.array([_apart(x, y) for x, y in zip(batch.column("a_sketch").to_pylist(), batch.column("b_sketch").to_pylist())], np.int64)
+            good = pa.array((100 + percent) * (total - apart) >= 2 * percent * total, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
+
+    return run
+
+
 def _verify(width: int, percent: int):
     def run(batches):
         last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
@@ -238,7 +283,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
     row with the earliest place becomes the pivot, and only pairs with the pivot are verified on whole texts; most groups of copies
     become one component here, with as many pairs as rows. 4. All other pairs of rows of one shingle that lie in different components
     are joined by shingle and size class, if places and sizes leave room for the overlap; pairs that share enough of them are
-    verified too. Rows of the main component of a list are never paired among themselves. No list, pair or candidate is left out.
+    ruled out or verified like the others. Rows of the main component of a list are never paired among themselves. No list, pair or candidate is left out.
 
     Shingles are compared by 64-bit hashes; two nodes whose 64-bit numbers are equal but whose sets are not raise an error.
     Null and empty texts have 0 shingles and are alone. Null keys have a component of their smallest non-null key, or null. Rows
@@ -250,19 +295,21 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
     rows = docs.select(F.col(key).cast("long").alias("id"), content.alias("text"))
     with_digest = rows.select("id", F.xxhash64("text").alias("digest"), "text")
     counts = spark.sparkContext.broadcast(shingle_weights(docs, width, text))
-    described = kept(arrow_map(with_digest, _describe(width), "id long, digest long, size int, node long, check long"))
+    described = kept(arrow_map(with_digest, _describe(width), "id long, digest long, size int, node long, check long, sketch binary"))
     filled = described.filter("size > 0")
-    nodes = filled.groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("id", "digest")).alias("sample"), (F.min("check") == F.max("check")).alias("same"))
+    nodes = filled.groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("id", "digest", "size", "sketch")).alias("sample"), (F.min("check") == F.max("check")).alias("same"))
     nodes = nodes.filter(F.assert_true("same", F.lit("two sets of shingles have one number")).isNull())
-    nodes = kept(nodes.select("node", "least", F.col("sample.id").alias("id"), F.col("sample.digest").alias("digest")))
+    nodes = kept(nodes.select("node", "least", "sample.*"))
     dealt = arrow_map(rows.select("text"), _prefixes(width, percent, counts), "list long, node long, info long")
     dealt = dealt.repartition("list").sortWithinPartitions("list", F.col("info").bitwiseAND((1 << 32) - 1), "node")
     shared = SharedTable(arrow_map(dealt, _lists, "list long, node long, info long, p_node long, p_info long"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = kept(pairs)
+        sketches = [nodes.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("sketch").alias(f"{x}_sketch")) for x in "ab"]
+        pairs = kept(arrow_map(pairs.join(sketches[1], "b").join(sketches[0], "a"), _may_link(percent), "a long, b long"))
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", F.col("id").alias("i"), F.col("digest").alias("g"))
-        texts = with_digest.join(wanted, (F.col("digest") == F.col("g")) & F.col("id").eqNullSafe(F.col("i"))).select("node", "text")
+        texts = with_digest.filter(in_filter(key_filter(wanted, "g"), F.col("digest")))
+        texts = texts.join(wanted, (F.col("digest") == F.col("g")) & F.col("id").eqNullSafe(F.col("i"))).select("node", "text")
         texts = SharedTable(texts)
         try:
             found = pairs.join(texts.read().withColumnsRenamed({"node": "b", "text": "b_text"}), "b").join(texts.read().withColumnsRenamed({"node": "a", "text": "a_text"}), "a")
