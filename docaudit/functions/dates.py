@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.functions import patterns as P
@@ -21,34 +21,55 @@ def calendar_date(year: Column, month: Column, day: Column) -> Column:
 
     The parts are checked rather than parsed: a failed parse costs an exception per value.
     """
-    safe_year, safe_month = F.greatest(year, F.lit(1)), F.greatest(F.least(month, F.lit(12)), F.lit(1))
-    last = F.dayofmonth(F.last_day(F.make_date(safe_year, safe_month, F.lit(1))))
-    valid = (year >= 1) & month.between(1, 12) & day.between(1, last)
-    return F.when(valid, F.make_date(safe_year, safe_month, F.greatest(F.least(day, last), F.lit(1))))
+    leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
+    last = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+    return F.when((year >= 1) & month.between(1, 12) & (day >= 1) & (day <= last), F.make_date(year, month, day))
 
 
-def claimed_date(raw: Column) -> Column:
-    """The date of a mention, NULL when it is no date.
+#: Forms of dates: year first, year last, month in words.
+YMD, MDY, WRITTEN = "ymd", "mdy", "written"
 
-    Numeric forms need equal separators. Two-digit years pivot at 69. A missing year is 1900, so 29 February
-    without a year is no date. Years start at 1.
-    """
-    ymd = r"^([0-9]{4})([-/])([0-9]{1,2})\2([0-9]{1,2})$"
-    mdy = r"^([0-9]{1,2})([-/])([0-9]{1,2})\2([0-9]{4}|[0-9]{2})$"
-    written = rf"(?U)^([A-Za-z]+){P.SPACE}+([0-9]{{1,2}})(?:,?{P.SPACE}+([0-9]{{4}}))?$"
-    numeric = F.regexp_replace(F.regexp_replace(raw, ymd, "$1-$3-$4"), mdy, "$4-$1-$3")
-    long_year = F.regexp_replace(F.regexp_replace(numeric, r"^(?=[0-5][0-9]-|6[0-8]-)", "20"), r"^(?=[0-9]{2}-)", "19")
-    words = F.regexp_replace(F.regexp_replace(raw, written, "$3-$1-$2"), r"^-", "1900-")
+
+def date_pieces(raw: Column, form: Column) -> Column:
+    """The pieces of a mention whose form is known, NULL if its separators differ."""
+    mixed = F.contains(raw, F.lit("-")) & F.contains(raw, F.lit("/"))
+    return F.when(form == WRITTEN, F.split(raw, rf"(?U),?{P.SPACE}+")).when(~mixed, F.split(raw, "[-/]"))
+
+
+def _year_month_day(p: Column, form: Column) -> list[Column]:
+    """Numbers of the pieces. Two-digit years pivot at 69. A missing year is 1900, so 29 February without a year is no date."""
+    whole = lambda i: F.get(p, F.lit(i)).try_cast("int")
     months = F.create_map(*[F.lit(v) for i, m in enumerate(P.MONTHS, 1) for v in (m.lower(), i)])
-    parts = F.when(F.rlike(raw, F.lit("^[0-9]")), long_year).otherwise(words)
-    form = F.lit("^[0-9]{4}-(?:[0-9]{1,2}|[A-Za-z]+)-[0-9]{1,2}$")
+    third, digits = whole(2), F.length(F.get(p, F.lit(2)))
+    year = (
+        F.when(form == YMD, whole(0))
+        .when((form == WRITTEN) & (F.size(p) < 3), 1900)
+        .when((form == WRITTEN) | (digits == 4), third)
+        .when(digits == 2, F.pmod(third + 31, F.lit(100)) + 1969)
+    )
+    month = F.when(form == WRITTEN, F.try_element_at(months, F.lower(F.get(p, F.lit(0))))).otherwise(F.get(p, F.when(form == YMD, 1).otherwise(0)).try_cast("int"))
+    return [year, month, F.get(p, F.when(form == YMD, 2).otherwise(1)).try_cast("int")]
 
-    def numbers(p: Column) -> Column:
-        month = F.coalesce(F.get(p, F.lit(1)).try_cast("int"), F.try_element_at(months, F.lower(F.get(p, F.lit(1)))))
-        return F.struct(F.get(p, F.lit(0)).try_cast("int").alias("y"), month.alias("m"), F.get(p, F.lit(2)).try_cast("int").alias("d"))
 
-    split = once(parts, lambda p: F.when(F.rlike(p, form), F.split(p, "-")))
-    return once(once(split, numbers), lambda n: calendar_date(n["y"], n["m"], n["d"]))
+def with_date(mentions: DataFrame, raw: str, form: str, name: str) -> DataFrame:
+    """Adds the date of mentions whose form is known from the pattern that found them; each piece is made once per mention."""
+    pieces = mentions.withColumn("_pieces", date_pieces(F.col(raw), F.col(form)))
+    parts = pieces.withColumns(dict(zip(("_year", "_month", "_day"), _year_month_day(F.col("_pieces"), F.col(form)))))
+    dated = parts.withColumn(name, calendar_date(F.col("_year"), F.col("_month"), F.col("_day")))
+    return dated.drop("_pieces", "_year", "_month", "_day")
+
+
+def claimed_date(raw: Column) -> Column:
+    """The date of any text, NULL when it is no date. Numeric forms need equal separators."""
+    form = (
+        F.when(F.rlike(raw, F.lit(r"^[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}$")), YMD)
+        .when(F.rlike(raw, F.lit(r"^[0-9]{1,2}[-/][0-9]{1,2}[-/](?:[0-9]{4}|[0-9]{2})$")), MDY)
+        .when(F.rlike(raw, F.lit(rf"(?U)^[A-Za-z]+{P.SPACE}+[0-9]{{1,2}}(?:,?{P.SPACE}+[0-9]{{4}})?$")), WRITTEN)
+    )
+    mention = F.struct(raw.alias("raw"), form.alias("form"))
+    pieces = once(mention, lambda m: F.struct(date_pieces(m["raw"], m["form"]).alias("p"), m["form"].alias("form")))
+    parts = once(pieces, lambda m: F.struct(*[c.alias(n) for n, c in zip("ymd", _year_month_day(m["p"], m["form"]))]))
+    return once(parts, lambda n: calendar_date(n["y"], n["m"], n["d"]))
 
 
 def normalise_date(raw: Column) -> Column:
@@ -56,11 +77,6 @@ def normalise_date(raw: Column) -> Column:
     return claimed_date(raw).cast("string")
 
 
-def audited_date(raw: Column) -> Column:
-    """The date of an ISO or written mention that has a year, NULL when it is no date."""
-    return claimed_date(F.regexp_replace(raw, ",", ""))
-
-
 def parse_timestamp(text: Column) -> Column:
     """Lenient timestamp in UTC: ISO with or without offset, else digits with zero fill, else NULL."""
     t = strip(text)

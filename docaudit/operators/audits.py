@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.functions import patterns as P
-from docaudit.functions.dates import audited_date
+from docaudit.functions.dates import WRITTEN, YMD, with_date
 from docaudit.functions.text import log_verdict
 from docaudit.operators.claims import mentions
 
@@ -129,10 +129,14 @@ def source_verification(findings: DataFrame, required: bool = False) -> DataFram
 def date_findings(docs: DataFrame, as_of: Column, path: str = "path", text: str = "text") -> DataFrame:
     """Every valid dated mention, and whether its midnight lies over 183 days before ``as_of``."""
     t = F.col(text)
-    found = docs.select(
-        F.col(path).alias("path"),
-        F.explode(F.concat(mentions(t, P.AUDIT_DATE_ISO, 0), mentions(t, P.AUDIT_DATE_WRITTEN, 0))).alias("mention"),
-    ).withColumn("date", audited_date(F.col("mention")))
+
+    def found_by(pattern: str, form: str) -> Column:
+        return F.transform(mentions(t, pattern, 0), lambda m: F.struct(m.alias("mention"), F.lit(form).alias("form")))
+
+    rows = docs.select(F.col(path).alias("path"), F.explode(F.concat(found_by(P.AUDIT_DATE_ISO, YMD), found_by(P.AUDIT_DATE_WRITTEN, WRITTEN))).alias("m"))
+    found = with_date(rows.select("path", "m.mention", "m.form"), "mention", "form", "date").drop("form")
+    # As rows of an array, so that the filter on dates is not moved below where they are made.
+    found = found.select("path", "mention", F.explode(F.array("date")).alias("date"))
     cutoff = as_of.cast("timestamp") - F.make_dt_interval(F.lit(P.STALE_AFTER_DAYS))
     return found.where(F.col("date").isNotNull()).select(
         "path", "mention", "date", (F.col("date").cast("timestamp") < cutoff).alias("stale")

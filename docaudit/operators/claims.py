@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.functions import patterns as P
-from docaudit.functions.dates import normalise_date
+from docaudit.functions.dates import MDY, WRITTEN, YMD, with_date
 from docaudit.functions.numbers import float_text, normalise_number, parse_float
 from docaudit.functions.text import strip
 from docaudit.schemas import CLAIM_COLUMNS
@@ -27,9 +27,12 @@ def normalise_url(raw: Column) -> Column:
     return F.lower(F.rtrim(raw, F.lit(P.CLAIM_URL_TAIL)))
 
 
-def numbered_lines(docs: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """Stripped lines of each document, numbered from 1; lines end at LF, CR or CRLF only."""
-    return docs.select(F.col(path).alias("source_file"), F.posexplode(F.split(F.col(text), r"\r\n|[\r\n]"))).select(
+def numbered_lines(docs: DataFrame, path: str = "path", text: str = "text", having: str | None = None) -> DataFrame:
+    """Stripped lines of each document, numbered from 1; lines end at LF, CR or CRLF only. ``having``: only lines with this pattern."""
+    lines = docs.select(F.col(path).alias("source_file"), F.posexplode(F.split(F.col(text), r"\r\n|[\r\n]")))
+    if having:
+        lines = lines.where(F.rlike(F.col("col"), F.lit(having)))
+    return lines.select(
         "source_file", (F.col("pos") + 1).alias("line_number"), strip(F.col("col")).alias("raw_line")
     )
 
@@ -38,42 +41,47 @@ def text_claims(docs: DataFrame, path: str = "path", text: str = "text") -> Data
     """Date, URL and number claims of each line, in one scan.
 
     Headings are treated like any line. Parts of dates count as numbers. A number needs an entity; a date
-    without one stands for itself; a URL is its own entity and value.
+    without one stands for itself; a URL is its own entity and value. Mentions are found first, each with the kind that its
+    pattern tells, and become rows; values are then plain columns, each made once.
     """
+    line, raw, form = F.col("raw_line"), F.col("mention.raw"), F.col("mention.form")
+
+    def found(pattern: str, name: str) -> Column:
+        return F.transform(mentions(line, pattern), lambda m: F.struct(F.lit(name).alias("form"), m.alias("raw")))
+
+    nothing = F.array().cast("array<struct<form:string,raw:string>>")
+    patterns = list(zip(P.CLAIM_DATES, (YMD, MDY, WRITTEN)))
+    dates = [F.when(guard, found(p, name)).otherwise(nothing) for (p, name), guard in zip(patterns, _guards(line))]
+    links = F.when(F.rlike(line, F.lit("(?i)https?://")), found(P.CLAIM_URL, "url")).otherwise(nothing)
+    numbers = F.when(F.col("phrase") != "", found(P.CLAIM_NUMBER, "numeric")).otherwise(nothing)
+    rows = (
+        numbered_lines(docs, path, text, r"(?iU)\d|https?://")
+        .withColumn("phrase", F.lower(entity_of(line)))
+        .select("*", F.posexplode(F.concat(*dates, links, numbers)).alias("pos", "mention"))
+        .select("source_file", "line_number", "raw_line", "phrase", "pos", form.alias("form"), raw.alias("raw"))
+    )
+    dated = with_date(rows, "raw", "form", "_date")
+    valued = dated.withColumn("_num", F.when(F.col("form") == "numeric", normalise_number(F.col("raw")))).withColumn(
+        "_value",
+        F.when(F.col("form") == "numeric", float_text(F.col("_num")))
+        .when(F.col("form") == "url", normalise_url(F.col("raw")))
+        .otherwise(F.col("_date").cast("string")),
+    )
+    kinds = F.when(F.col("form").isin("numeric", "url"), F.col("form")).otherwise("date")
+    # The filter on values must not be moved below them, where it would make each a second time; rows of an array are a barrier to that.
+    made = F.array(F.struct(kinds.alias("kind"), F.col("_value").alias("value"), F.col("_num").alias("num")))
+    found_claims = valued.select("source_file", "line_number", "raw_line", "phrase", "pos", F.explode(made).alias("mention"))
+    return _as_claims(found_claims)
 
-    none = F.lit(None).cast("double")
-
-    def claim(kind: str, value: Column, number: Column = none) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), value.alias("value"), number.alias("num"))
-
-    def dated(m: Column) -> Column:
-        return claim("date", normalise_date(m))
 
-    def linked(m: Column) -> Column:
-        return claim("url", normalise_url(m))
+def _guards(line: Column) -> list[Column]:
+    """What a line must have for each form of date, by tests far cheaper than the patterns."""
+    apart = F.rlike(line, F.lit(r"(?U)\d[-/]\d"))
+    return [apart, apart, F.rlike(line, F.lit(rf"(?iU)(?:{'|'.join(m[:3] for m in P.MONTHS)})"))]
 
-    def counted(n: Column) -> Column:
-        return claim("numeric", float_text(n), n)
 
-    line = F.col("raw_line")
-    # Values are made inside the arrays: each is computed once, and the code generated for the row stays small.
-    numbers = F.transform(F.transform(mentions(line, P.CLAIM_NUMBER), normalise_number), counted)
-    nothing = F.array().cast("array<struct<kind:string,value:string,num:double>>")
-    found = (
-        numbered_lines(docs, path, text)
-        .where(F.rlike(line, F.lit(r"(?iU)\d|https?://")))
-        .withColumn("phrase", F.lower(entity_of(line)))
-        .select(
-            "*",
-            F.posexplode(
-                F.concat(
-                    *[F.transform(mentions(line, p), dated) for p in P.CLAIM_DATES],
-                    F.transform(mentions(line, P.CLAIM_URL), linked),
-                    F.when(F.col("phrase") != "", numbers).otherwise(nothing),
-                )
-            ).alias("pos", "mention"),
-        )
-    )
+def _as_claims(found: DataFrame) -> DataFrame:
+    line, none = F.col("raw_line"), F.lit(None).cast("double")
     kind, value = F.col("mention.kind"), F.col("mention.value")
     own_entity = (kind == "url") | ((kind == "date") & (F.col("phrase") == ""))
     return found.where(value.isNotNull()).select(
