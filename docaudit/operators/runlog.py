@@ -4,7 +4,8 @@ A log row is one command: ``init``, ``register`` or ``update``; ``seq`` orders t
 unique for a run and agent. State is derived on read. One run, or one agent, may own a third of the log, so no
 step orders a whole run or agent in one task: where order matters the log is cut into stretches of ``WIDTH``
 consecutive ``seq`` values, each stretch is reduced to one row, and only those rows are ordered. A stretch holds
-at most ``WIDTH`` rows of an agent, and an agent at most ``max(seq) / WIDTH`` stretches.
+at most ``WIDTH`` rows of an agent, and an agent at most ``(max(seq) - min(seq)) / WIDTH`` stretches: ``seq`` must be
+about as dense as the events of a run, like a counter; for numbers made from clocks, pass a width of that many units.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from docaudit.functions import patterns as P
 from docaudit.functions.dates import micros
 
 WIDTH = 1_000_000
+# Events look up the inits of a shorter stretch, so that what each of them gets stays small.
+LOOKUP = 1024
 AGENT = ["run_id", "agent_id"]
 
 
@@ -53,6 +56,7 @@ def with_epochs(events: DataFrame, width: int = WIDTH) -> DataFrame:
     Accepted inits are the first of a run and every forced one. Each stretch of a run carries the inits inside
     it and the last one before it; events look their stretch up, so no run is ordered as a whole.
     """
+    width = min(width, LOOKUP)
     forced = is_forced(events)
     inits = events.where(F.col("op") == "init").select("run_id", "seq", forced.alias("forced"))
     first = inits.groupBy("run_id").agg(F.min("seq").alias("first_seq"))

@@ -130,6 +130,11 @@ def _first_named(items: Column) -> Column:
     return F.get(F.filter(F.transform(items, name), lambda a: a.isNotNull()), F.lit(0))
 
 
+def _or_alone(key: Column) -> Column:
+    """The key, or where there is none one that matches nothing and differs by track, so that such tracks do not meet in one task."""
+    return F.coalesce(key.cast("string"), F.concat(F.lit("\0"), F.col("track_id")))
+
+
 def attribute(tracks: DataFrame, directories: DataFrame) -> DataFrame:
     """The agent of each track and whether it has a worktree.
 
@@ -142,7 +147,7 @@ def attribute(tracks: DataFrame, directories: DataFrame) -> DataFrame:
     base = lambda p: F.regexp_extract(p, r"([^/\\]+)$", 1)
     recorded_dir, recorded_path = F.col("worktree.directory"), F.col("worktree.path")
     keyed = (
-        tracks.withColumn("_issue", F.nullif(F.col("github_issue.number"), F.lit(0)).cast("string"))
+        tracks.withColumn("_issue", _or_alone(F.nullif(F.col("github_issue.number"), F.lit(0))))
         .withColumn("_slug", slug)
         .withColumn("_short", F.regexp_replace("_slug", P.DATED_SUFFIX, ""))
     )
@@ -152,12 +157,12 @@ def attribute(tracks: DataFrame, directories: DataFrame) -> DataFrame:
         .join(by_name.select(F.col("id").alias("_short"), F.col("dir_agent").alias("_a3")), "_short", "left")
         .join(
             existing.select(F.col("_recorded").alias("_d"), F.col("_exists").alias("_e1")),
-            F.col("_d") == base(recorded_dir),
+            F.col("_d") == _or_alone(base(recorded_dir)),
             "left",
         )
         .join(
             existing.select(F.col("_recorded").alias("_p"), F.col("_exists").alias("_e2")),
-            F.col("_p") == base(recorded_path),
+            F.col("_p") == _or_alone(base(recorded_path)),
             "left",
         )
     )
@@ -206,7 +211,7 @@ def registry(
 ) -> DataFrame:
     """The track listing: status, agent, progress, age. ``issues`` holds (number, updated_at text)."""
     remote = issues.select(
-        F.col("number").alias("_number"), parse_timestamp(F.col("updated_at")).alias("_remote")
+        F.col("number").cast("string").alias("_number"), parse_timestamp(F.col("updated_at")).alias("_remote")
     )
     by_plan = F.when(
         F.col("plan").isNotNull(),
@@ -219,7 +224,7 @@ def registry(
     ).otherwise(F.upper(F.coalesce("status", F.lit("unknown"))))
     merged = (
         attribute(tracks, directories)
-        .join(remote, F.col("github_issue.number") == F.col("_number"), "left")
+        .join(remote, _or_alone(F.col("github_issue.number")) == F.col("_number"), "left")
         .join(plans.select("track_id", F.struct(*STATS).alias("_plan")), "track_id", "left")
         .withColumn("_stats", F.coalesce(listed_counts(F.col("tasks")), by_plan))
         .withColumn(
