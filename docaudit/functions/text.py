@@ -68,7 +68,7 @@ def withhold_secret(line: Column, keys: list[str] | None = None) -> Column:
     """Replace a ``KEY=value`` line by a notice when KEY is secret; a bare KEY is kept."""
     key = strip(F.substring_index(line, "=", 1))
     secret = F.contains(line, F.lit("=")) & key.isin(keys if keys is not None else P.SECRET_KEYS)
-    return F.when(secret, F.concat(F.lit("# "), key, F.lit(" withheld from worktree (Coordinator-only)"))).otherwise(
+    return F.when(secret, F.concat(F.lit("# "), key, F.lit(" left out: secret value"))).otherwise(
         line
     )
 

@@ -141,8 +141,8 @@ def test_withheld_and_logs(spark):
     lines = ["A=1", "GH_TOKEN=z", " GITHUB_TOKEN = x", "GH_TOKEN"]
     assert column(spark, lines, text.withhold_secret) == [
         "A=1",
-        "# GH_TOKEN withheld from worktree (Coordinator-only)",
-        "# GITHUB_TOKEN withheld from worktree (Coordinator-only)",
+        "# GH_TOKEN left out: secret value",
+        "# GITHUB_TOKEN left out: secret value",
         "GH_TOKEN",
     ]
     logs = spark.createDataFrame([(0, "no tests found"), (0, "10 passed"), (1, "0 tests"), (0, "10 tests")], "e int, o string")

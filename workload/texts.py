@@ -176,7 +176,7 @@ QUERIES = {
                       FROM customer)
         SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN key
             WHEN trim(key) IN ('GH_TOKEN', 'GITHUB_TOKEN')
-                 THEN '# ' || trim(key) || ' withheld from worktree (Coordinator-only)'
+                 THEN '# ' || trim(key) || ' left out: secret value'
             ELSE key || '=' || c_name END AS line FROM k""",
     ),
     "previews_and_headings": (
