@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 import math
 import re
@@ -11,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docaudit.llm.common import small_batches
+
 CALLS = "array<struct<id:string,name:string,arguments:string>>"
 #: How arguments name the result of another call: {"$ref": "<call id>"}.
 REFERENCE = r'"\$ref"\s*:\s*"((?:[^"\\]|\\.)*)"'
@@ -90,8 +93,6 @@ def ordered(ids: list[str], needs: list[set[str]]) -> tuple[list[int], set[int]]
     for i, own in enumerate(waits):
         for j in own:
             behind[j].append(i)
-    import heapq
-
     ready = [i for i, own in enumerate(waits) if not own]
     heapq.heapify(ready)
     out = []
@@ -168,6 +169,7 @@ def format_chats(messages: DataFrame, results: DataFrame, schemas: dict[str, dic
     conversation, null turns come first, null texts stay null, null call lists are empty; calls without identifier have no result.
     Other columns are ignored. Empty tables give no rows.
     """
+    small_batches(messages.sparkSession)
     messages = messages.select(F.col("conv").cast("string").alias("conv"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), F.col("calls").cast(CALLS).alias("calls"))
     messages = messages.dropDuplicates().withColumn("message", F.xxhash64("conv", "turn", "role", "text", F.to_json(F.struct("calls"))))
     calls = messages.select("conv", "turn", "message", F.posexplode("calls").alias("place", "call")).select("conv", "turn", "message", "place", "call.*")

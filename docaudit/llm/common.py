@@ -52,11 +52,16 @@ class SharedTable:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def arrow_map(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` over batches of BATCH_ROWS rows at most."""
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands BATCH_ROWS rows at most to Python at once."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
-        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def arrow_map(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` over small batches."""
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

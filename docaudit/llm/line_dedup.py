@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docaudit.llm.common import BLANKS, LOWER, UPPER, arrow_map, kept
+from docaudit.llm.common import BLANKS, LOWER, UPPER, arrow_map, kept, small_batches
 
 #: What the stream says of a line: it goes; that depends on the neighbouring tasks; how many documents a task's part of a run has.
 GOES, OPEN, PART = 0, 1, 2
@@ -183,6 +183,7 @@ def drop_lines(docs: DataFrame, bitmaps: DataFrame, key: str = "doc_id", text: s
 
     ``count_as``: name of a further column with the number of lines dropped.
     """
+    small_batches(docs.sparkSession)
     apply = F.pandas_udf(_apply, "string")
     marked = bitmaps.select(F.col(key).alias("_key"), F.col("digest").alias("_digest"), F.col("bitmap").alias("_bitmap"), F.col("n_dropped").alias("_n"))
     rows = docs.select(F.struct("*").alias("row"), F.col(key).cast("long").alias("id"), F.col(text).alias("text"), _digest(F.col(text)).alias("digest"))

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docaudit.llm.common import small_batches
+
 ROUNDS = 10
 DAYS_FROM, DAYS_TO = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
 
@@ -185,6 +187,7 @@ def mask(docs: DataFrame, key: bytes, text: str = "text", spans: str = "spans")
     Null texts stay null and empty ones empty, with no spans. Rows that repeat get equal results. A column that has the name of
     ``spans`` is replaced. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     kind = "struct<text string, spans array<struct<start int, end int, kind string, pseudonym string>>>"
 
     @F.pandas_udf(kind)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.llm.bytetext import mix, span_hashes, utf8
-from docaudit.llm.common import arrow_map
+from docaudit.llm.common import arrow_map, small_batches
 
 SPACE = "▁"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -402,6 +402,7 @@ def _slices(column: pa.Array, most: int = 4 << 20):
 
 def decode(rows: DataFrame, model_file: str, pieces: str = "pieces", text: str = "text") -> DataFrame:
     """Adds the text that lists of pieces spell; null lists give null. A column of that name is replaced."""
+    small_batches(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary(model_file))
 
     @F.pandas_udf("string")
