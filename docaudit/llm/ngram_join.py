@@ -26,6 +26,8 @@ MOST_MATCHES = 4
 LIST_PART = 4096
 #: The low bits of a list's number say which part of a shingle's list it is.
 LOW = 4095
+#: Bits of the short sketch of a set.
+SHORT = 512
 #: Size classes per doubling of a set's size, used to join only sets of fitting sizes.
 CLASSES = 44
 
@@ -89,6 +91,12 @@ def _sketch(own: np.ndarray) -> bytes:
     return np.packbits(switched.astype(np.uint8)).tobytes()
 
 
+def _short_sketch(own: np.ndarray) -> np.ndarray:
+    """The same in SHORT bits for every set, as 64-bit numbers, to be compared inside a join."""
+    switched = np.bincount((mix(own ^ np.uint64(3)) & np.uint64(SHORT - 1)).astype(np.int64), minlength=SHORT) & 1
+    return np.packbits(switched.astype(np.uint8)).view(np.int64)
+
+
 def _apart(a: bytes, b: bytes) -> int:
     """At least so many shingles are in one of two sets only. The longer sketch is folded to the length of the shorter one."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -100,13 +108,14 @@ def _apart(a: bytes, b: bytes) -> int:
 def _describe(width: int):
     def run(batches):
         for batch in batches:
-            sizes, nodes, checks, sketches = [], [], [], []
+            sizes, nodes, checks, sketches, bits = [], [], [], [], []
             for own in _sets(batch.column("text"), width):
                 sizes.append(len(own))
                 sketches.append(_sketch(own) if len(own) else b"")
+                bits.append(_short_sketch(own))
                 nodes.append(_node(own, 1))
                 checks.append(_node(own, 2))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.array(sizes, pa.int32()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(sketches, pa.binary())], ["id", "digest", "size", "node", "check", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.array(sizes, pa.int32()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(sketches, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], ["id", "digest", "size", "node", "check", "sketch", "bits"])
 
     return run
 
@@ -295,9 +304,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
     rows = docs.select(F.col(key).cast("long").alias("id"), content.alias("text"))
     with_digest = rows.select("id", F.xxhash64("text").alias("digest"), "text")
     counts = spark.sparkContext.broadcast(shingle_weights(docs, width, text))
-    described = kept(arrow_map(with_digest, _describe(width), "id long, digest long, size int, node long, check long, sketch binary"))
+    described = kept(arrow_map(with_digest, _describe(width), "id long, digest long, size int, node long, check long, sketch binary, bits array<long>"))
     filled = described.filter("size > 0")
-    nodes = filled.groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("id", "digest", "size", "sketch")).alias("sample"), (F.min("check") == F.max("check")).alias("same"))
+    nodes = filled.groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("id", "digest", "size", "sketch", "bits")).alias("sample"), (F.min("check") == F.max("check")).alias("same"))
     nodes = nodes.filter(F.assert_true("same", F.lit("two sets of shingles have one number")).isNull())
     nodes = kept(nodes.select("node", "least", "sample.*"))
     dealt = arrow_map(rows.select("text"), _prefixes(width, percent, counts), "list long, node long, info long")
@@ -326,7 +335,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
         place = F.col("info").bitwiseAND((1 << 32) - 1)
         mains = rest.groupBy("token").agg(F.min(F.struct(place.alias("place"), "node", "root")).alias("main"), F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s")
         mains = mains.select("token", F.col("main.root").alias("main"))
-        rest = SharedTable(rest.join(mains, "token").select("token", "node", "info", "root", (F.col("root") == F.col("main")).alias("main")))
+        short = nodes.select("node", *[F.get("bits", F.lit(i)).alias(b) for i, b in enumerate(_BITS)])
+        rest = rest.join(mains, "token").select("token", "node", "info", "root", (F.col("root") == F.col("main")).alias("main"))
+        rest = SharedTable(rest.join(short, "node"))
         try:
             more = verified(_other_pairs(_unpacked(rest.read()), percent))
         finally:
@@ -342,6 +353,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
     return out.union(alone).select(F.col("id").alias(key), F.col("size").cast("long").alias("n_shingles"), "component", "node")
 
 
+_BITS = [f"b{i}" for i in range(SHORT // 64)]
+
+
 def _other_pairs(rest: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of different components. rest: token, node, size, place, many, root, main (whether root is the list's main one)."""
     p = 100 + percent
@@ -354,10 +368,15 @@ def _other_pairs(rest: DataFrame, percent: int) -> DataFrame:
     least = F.ceil(F.col("size") * percent / 100)
     large = rest.withColumn("most", most).withColumn("least", least).filter("most >= least")
     large = large.withColumn("class", F.explode(F.sequence(size_class(F.col("least")), size_class(F.col("most")))))
-    s = small.select("token", "class", *[F.col(c).alias(f"s_{c}") for c in ("node", "size", "place", "many", "root", "main")])
-    l = large.select("token", "class", *[F.col(c).alias(f"l_{c}") for c in ("node", "size", "place", "many", "root", "main")])  # noqa: E741
+    names = ("node", "size", "place", "many", "root", "main", *_BITS)
+    s = small.select("token", "class", *[F.col(c).alias(f"s_{c}") for c in names])
+    l = large.select("token", "class", *[F.col(c).alias(f"l_{c}") for c in names])  # noqa: E741
     good = (F.col("s_root") != F.col("l_root")) & _fits("s_", "l_", percent) & _similar_sizes("s_", "l_", percent)
     good &= (F.col("s_size") < F.col("l_size")) | ((F.col("s_size") == F.col("l_size")) & (F.col("s_node") < F.col("l_node")))
+    # What is in one of the sets only leaves less room for what they share.
+    apart = sum((F.bit_count(F.col(f"s_{b}").bitwiseXOR(F.col(f"l_{b}"))) for b in _BITS), F.lit(0))
+    total = F.col("s_size") + F.col("l_size")
+    good &= p * (total - apart) >= 2 * percent * total
     pairs = [left.join(right, ["token", "class"]).filter(good) for left, right in ((l.filter("NOT l_main"), s), (l.filter("l_main"), s.filter("NOT s_main")))]
     pairs = pairs[0].unionByName(pairs[1])
     return _counted(pairs.select(F.least("s_node", "l_node").alias("a"), F.greatest("s_node", "l_node").alias("b"), F.least("s_many", "l_many").alias("l")))
