@@ -28,7 +28,12 @@ _DATE = r"(?P<date>(?<![\d/.-])(?:\d{4}(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}|\d{1,2
 _SSN = r"(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d]|-\d))"
 _PHONE = r"(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?![\d])|(?<![\d(])\(\d{3}\) ?\d{3}[.-]\d{4}(?![\d])|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d]|[.-]\d))"
 _CARD = r"(?P<card>(?<![\d])\d(?:[ -]?\d){12,18}(?![\d]))"
-VALUES = re.compile("|".join((_EMAIL, _IBAN, _IP, _DATE, _SSN, _PHONE, _CARD)), re.ASCII)
+_ALL = (_EMAIL, _IBAN, _IP, _DATE, _SSN, _PHONE, _CARD)
+VALUES = re.compile("|".join(_ALL), re.ASCII)
+PATTERNS = {re.match(r"\(\?P<(\w+)>", p).group(1): re.compile(p, re.ASCII) for p in _ALL}
+
+#: Digits behind the country codes whose numbers all have so many.
+NATIONAL = {"1": 10, "7": 10, "30": 10, "31": 9, "33": 9, "34": 9, "41": 9, "44": 10, "45": 8, "47": 8, "48": 9, "61": 9, "91": 10, "351": 9, "420": 9}
 
 
 def permute(number: int, size: int, key: bytes, kind: str, back: bool = False) -> int:
@@ -159,21 +164,107 @@ def _email(text: str, turn) -> str | None:
 KINDS = {"email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
+def _phone_end(text: str) -> int:
+    """Where a phone number ends by its own grouping: at its country's number of digits; else at a blank behind seven digits or more of
+    which the last groups are joined by - or ., or of which the last group has six or more."""
+    head = re.match(r"\+(\d{1,3})(?=[ .(-])", text)
+    if not head:
+        return len(text)
+    ends, digits, before = [], 0, ""
+    for m in re.finditer(r"\d+", text[head.end() :]):
+        digits += len(m.group())
+        ends.append((head.end() + m.end(), digits, before, len(m.group())))
+        before = text[head.end() + m.end() : head.end() + m.end() + 1]
+    for end, n, _, _ in ends:
+        if n == NATIONAL.get(head.group(1)):
+            return end
+    for end, n, joint, group in ends:
+        if n >= 7 and text[end : end + 1] == " " and (joint in ("-", ".") or group >= 6):
+            return end
+    return len(text)
+
+
+def _ends(text: str, m: re.Match, kind: str) -> list[int]:
+    """Where the value that begins at a match may end: at the match's end or at the end of a group in it; the likeliest first."""
+    start, stop = m.span()
+    if kind not in ("iban", "phone", "card"):
+        return [stop]
+    ends = [i for i in range(start + 1, stop) if text[i] in " .-" and text[i - 1].isalnum()] + [stop]
+    own = start + _phone_end(m.group()) if kind == "phone" else 0
+
+    def order(end: int) -> tuple:
+        # A month of an expiry date is no part of a number, and a number begun in one piece ends with it.
+        expiry = text[end : end + 1] == "/" and text[end + 1 : end + 2].isdigit() and re.search(r"[ .-]\d\d?$", text[start:end], re.ASCII) is not None
+        one = end == ends[0]
+        return expiry, kind == "phone" and end != own, kind != "phone" and not one, kind == "card" and sum(map(str.isdigit, text[start:end])) != 16, -end
+
+    return sorted(ends, key=order)
+
+
+def _value(text: str, m: re.Match, kind: str, key: bytes, later: bool) -> tuple[int, str, str] | None:
+    """End, kind and pseudonym of the value of a kind that begins at a match of it, None if there is none.
+
+    later: the match begins inside one that was none.
+    """
+    turn = lambda kind: lambda number, size: permute(number, size, key, kind)
+    start, stop = m.span()
+    for end in _ends(text, m, kind):
+        if end != stop and not PATTERNS[kind].fullmatch(text, start, end):
+            continue
+        value = text[start:end]
+        if kind == "card" and (later or end != stop):
+            # Rows of short numbers would often pass a check of one digit.
+            groups = re.split("[ -]", value)
+            if any(len(g) < 4 for g in groups[:-1]) and (later or sum(map(len, groups)) != 16):
+                continue
+        new = KINDS[kind](value, turn(kind))
+        if new is not None:
+            # What is cut off a phone number of too many digits may be a card's.
+            if kind == "phone" and end != start + _phone_end(m.group()) and _card_inside(text, m, key):
+                continue
+            return end, kind, new
+        if kind == "phone" and (new := _card(value, turn("card"))) is not None:  # a card number that looks like a phone number
+            return end, "card", new
+    return None
+
+
+def _card_inside(text: str, m: re.Match, key: bytes) -> bool:
+    """Whether a card number begins inside a match and goes on beyond what the match's value would be."""
+    at = m.start() + 1
+    while (card := PATTERNS["card"].search(text, at)) and card.start() < m.end():
+        if _value(text, card, "card", key, True):
+            return True
+        at = card.start() + 1
+    return False
+
+
+def _first_value(text: str, m: re.Match, key: bytes, later: bool) -> tuple[int, str, str] | None:
+    """The value that begins at a match: of the kind matched, else of another one."""
+    kind = m.lastgroup if m.lastgroup in KINDS else next(k for k in KINDS if m.group(k) is not None)
+    if (found := _value(text, m, kind, key, later)) is not None:
+        return found
+    for other in KINDS:
+        if other != kind and (also := PATTERNS[other].match(text, m.start())) and (found := _value(text, also, other, key, later)) is not None:
+            return found
+    return None
+
+
 def pseudonymize(text: str, key: bytes) -> tuple[str, list[dict]]:
-    """The text with pseudonyms, and what was replaced: start, end (characters of the original), kind, pseudonym."""
-    out, spans, last = [], [], 0
-    for m in VALUES.finditer(text):
-        kind = m.lastgroup if m.lastgroup in KINDS else next(k for k in KINDS if m.group(k) is not None)
-        new = KINDS[kind](m.group(kind), lambda number, size, kind=kind: permute(number, size, key, kind))
-        if new is None and kind != "card":  # e.g. a card number that looks like a phone number
-            digits = re.sub(r"\D", "", m.group(kind))
-            if kind in ("phone", "ssn", "date") and 13 <= len(digits) <= 19:
-                new, kind = _card(m.group(kind), lambda number, size: permute(number, size, key, "card")), "card"
-        if new is None:
+    """The text with pseudonyms, and what was replaced: start, end (characters of the original), kind, pseudonym.
+
+    Patterns take as much as may belong to a value. Where that fails its check, shorter values are tried that end with a group of it,
+    then the other kinds, and then the search goes on behind the first character, so a value is found beside any other numbers.
+    """
+    out, spans, last, at, failed = [], [], 0, 0, 0
+    while m := VALUES.search(text, at):
+        found = _first_value(text, m, key, m.start() < failed)
+        if found is None:
+            at, failed = m.start() + 1, max(failed, m.end())
             continue
+        end, kind, new = found
         out += [text[last : m.start()], new]
-        spans.append({"start": m.start(), "end": m.end(), "kind": kind, "pseudonym": new})
-        last = m.end()
+        spans.append({"start": m.start(), "end": end, "kind": kind, "pseudonym": new})
+        last = at = end
     return "".join([*out, text[last:]]), spans
 
 
@@ -184,6 +275,10 @@ def mask(docs: DataFrame, key: bytes, text: str = "text", spans: str = "spans")
     numbers, phone numbers, and the local parts of mail addresses, whose domain stays. Whole texts count, however long. Only texts with
     a digit or @ go through Python.
 
+    Numbers and capitals behind a value stay. A card of 13 to 19 digits beside other numbers is found if its groups but the last have four
+    digits or more, or if it has 16 digits and stands first. Where a country's phone numbers differ in length and are grouped by blanks
+    alone, short numbers behind one count as its last groups.
+
     Null texts stay null and empty ones empty, with no spans. Rows that repeat get equal results. A column that has the name of
     ``spans`` is replaced. An empty table gives no rows.
     """

@@ -95,6 +95,22 @@ def test_pseudonyms_keep_formats_and_stay_valid(kind):
     assert len({c.replace(" ", "").replace("-", "") for c in cards}) == 1
 
 
+@pytest.mark.parametrize("behind", [" 12/27", " 12/2027", " 123", " 1", " 20", " 2024 10", " 12345678", " BIC", " BIC CAIXESBB", " AB12", ", 7"])
+def test_what_stands_behind_a_value_stays(behind):
+    for value in sum(VALUES.values(), ["ES91 2100 0418 4502 0005 1332", "+1 (974) 555-3436", "+33 1 23 45 67 89", "3782 822463 10005"]):
+        own, spans = P.pseudonymize(value, b"key")
+        new, found = P.pseudonymize(value + behind, b"key")
+        assert found == spans and new == own + behind, value + behind
+
+
+def test_values_behind_other_numbers_are_found():
+    for value in ["4785380592391139", "4785 3805 9239 1139"]:
+        own = P.pseudonymize(value, b"key")[0]
+        for before in ("AB12 ", "12 ", "Ref 1234567 ", "+1 ", "DE00370400440532013000 "):
+            assert P.pseudonymize(before + value, b"key")[0] == before + own, before + value
+    assert [s["kind"] for s in P.pseudonymize("1234 567 123-45-6789", b"key")[1]] == ["ssn"]
+
+
 def test_other_numbers_stay():
     for value in NOT:
         assert P.pseudonymize(f"x {value} y", b"key") == (f"x {value} y", []), value
