@@ -31,9 +31,10 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by near-equal texts, the one with the smallest doc_id. Documents without words are linked with nothing and stay;
-    so do documents without doc_id, and rows that repeat the one that stays."""
-    others = ngram_join.near_duplicates(docs).filter("component <> doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    so do documents without doc_id, and rows that repeat the one that stays. A document is a doc_id with a text: where rows of one doc_id
+    have different texts, only those go whose own text has a near copy of a smaller doc_id."""
+    others = ngram_join.near_duplicates(docs, digest="_digest").filter("component <> doc_id").select(F.col("doc_id").alias("_id"), "_digest").distinct()
+    return docs.join(others, (docs["doc_id"] == others["_id"]) & (ngram_join.text_digest(docs["text"]) == others["_digest"]), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

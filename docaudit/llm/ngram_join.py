@@ -280,9 +280,14 @@ def _components(edges: DataFrame) -> DataFrame:
             whole = kept(new.select("node", F.coalesce("to", "root").alias("root")))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+def text_digest(text: Column) -> Column:
+    """A hash of a text, nulls as empty texts; with a key it tells which row of that key is meant."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str = "doc_id", text: str = "text", digest: str | None = None) -> DataFrame:
     """One row per document: key, n_shingles, component (smallest key of the documents it is linked with, directly or not), node (the
-    same for equal sets of shingles).
+    same for equal sets of shingles). ``digest``: name of a further column with the row's ``text_digest``.
 
     Words are what stands between blanks, A-Z in lower case. A set has the distinct runs of ``width`` words; fewer words make one
     run. Documents link when ``percent`` per cent of the union of their sets is shared.
@@ -302,7 +307,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
     spark = docs.sparkSession
     content = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("id"), content.alias("text"))
-    with_digest = rows.select("id", F.xxhash64("text").alias("digest"), "text")
+    with_digest = rows.select("id", text_digest(F.col("text")).alias("digest"), "text")
     counts = spark.sparkContext.broadcast(shingle_weights(docs, width, text))
     described = kept(arrow_map(with_digest, _describe(width), "id long, digest long, size int, node long, check long, sketch binary, bits array<long>"))
     filled = described.filter("size > 0")
@@ -348,9 +353,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
     roots = nodes.select("node", "least").join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = roots.groupBy("root").agg(F.min("least").alias("component"))
     roots = roots.join(smallest, "root").select("node", "component")
-    out = filled.join(roots, "node").select("id", "size", "component", "node")
-    alone = described.filter("size = 0").select("id", "size", F.col("id").alias("component"), F.lit(None).cast("long").alias("node"))
-    return out.union(alone).select(F.col("id").alias(key), F.col("size").cast("long").alias("n_shingles"), "component", "node")
+    out = filled.join(roots, "node").select("id", "size", "component", "node", "digest")
+    alone = described.filter("size = 0").select("id", "size", F.col("id").alias("component"), F.lit(None).cast("long").alias("node"), "digest")
+    further = [F.col("digest").alias(digest)] if digest else []
+    return out.union(alone).select(F.col("id").alias(key), F.col("size").cast("long").alias("n_shingles"), "component", "node", *further)
 
 
 _BITS = [f"b{i}" for i in range(SHORT // 64)]

@@ -45,5 +45,13 @@ def test_stages(spark, tmp_path):
     assert {i for (i,) in pieces} == {i for i, _ in mixed} and tables[5].filter("NOT round_trip").isEmpty()
 
 
+def test_one_row_of_a_repeated_id_goes_alone(spark, docs):
+    x, y = (" ".join(f"{c}{i}" for i in range(30)) for c in "xy")
+    rows = [(3, x), (7, x), (7, y), (9, y), (11, None), (11, x), (None, x)]
+    left = corpus_pipeline.keep_one_of_each(spark, docs(rows), FOLDER)
+    assert left.columns == docs(rows).columns
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter([(3, x), (7, y), (11, None), (None, x)])
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
