@@ -20,6 +20,10 @@ from docaudit.llm.common import arrow_map, labelled_sample
 ENDS = b".!?\n"
 #: Most words and beginnings of words that get a weight.
 MOST_WORDS = 2048
+#: Fewest documents of label 1 with a word that gets a weight, and the share of them (one in COMMON) under which its penalty grows.
+LEAST_DOCS, COMMON = 4, 60
+#: Penalty of the weight of a word that is not rare.
+DECAY = 2e-5
 #: Beginnings of so many bytes count beside whole words.
 STEMS = (4, 5, 6, 7)
 
@@ -98,11 +102,11 @@ def _bags(vocabulary: np.ndarray):
     return run
 
 
-def fit_noisy_or(y: np.ndarray, plain: np.ndarray, doc: np.ndarray, sentence: np.ndarray, word: np.ndarray, size: int, rounds: int = 400, decay: float = 2e-5) -> tuple[np.ndarray, float]:
+def fit_noisy_or(y: np.ndarray, plain: np.ndarray, doc: np.ndarray, sentence: np.ndarray, word: np.ndarray, size: int, rounds: int = 400, decay: float | np.ndarray = 2e-5) -> tuple[np.ndarray, float]:
     """Weights and bias of the sentences' logits, by Adam on the likelihood of the documents' labels.
 
     plain: sentences without known words per document; doc: the document of each other sentence; sentence, word: which words
-    these have. A document is clean with probability exp(-S), S the sum of softplus(logit) over its sentences.
+    these have; decay: pull of the weights towards 0, for all or for each. A document is clean with probability exp(-S), S the sum of softplus(logit) over its sentences.
     """
     theta = np.concatenate([np.zeros(size), [-6.0]])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -126,18 +130,19 @@ def train(docs: DataFrame, labels: DataFrame, held: Column, bound: int = 8000, l
     """Fits on about ``bound`` labelled documents that are not held out, chosen by a hash of the key; nothing else is bounded by it.
 
     Words and beginnings are counted by label over this sample on the executors. At most MOST_WORDS that are commoner among label 1, and
-    found in more than a few of its documents, get a weight; the
-    driver receives those and, of each sampled document, the sentences that have any. Without both labels, no word gets a weight.
+    found in LEAST_DOCS of its documents, get a weight; those in
+    less than one in COMMON are pulled towards 0 in proportion to their rarity. The driver receives those and, of each sampled document, the sentences that have any. Without both labels, no word gets a weight.
     """
     sample = labelled_sample(docs, labels, label, bound, held, key, text)
     counts = arrow_map(sample, _document_words, "word long, y double").groupBy("word").agg(F.sum("y").alias("bad"), F.count("*").alias("n"))
     sizes = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
     bad, good = sizes.get(1.0, 0), sizes.get(0.0, 0)
-    least = max(4, bad / 60)
     lift = (F.col("bad") + 0.5) / (bad + 1) / ((F.col("n") - F.col("bad") + 0.5) / (good + 1))
-    chosen = counts.filter(F.col("bad") >= least).withColumn("lift", lift).filter("lift > 2")
-    chosen = chosen.orderBy((F.col("bad") * F.log("lift")).desc(), "word").limit(MOST_WORDS).select("word").collect()
-    vocabulary = np.sort(np.array([r.word for r in chosen], np.int64).view(np.uint64))
+    chosen = counts.filter(F.col("bad") >= LEAST_DOCS).withColumn("lift", lift).filter("lift > 2")
+    chosen = chosen.orderBy((F.col("bad") * F.log("lift")).desc(), "word").limit(MOST_WORDS).select("word", "bad").collect()
+    vocabulary = np.array([r.word for r in chosen], np.int64).view(np.uint64)
+    order = np.argsort(vocabulary)
+    vocabulary, found_in = vocabulary[order], np.array([r.bad for r in chosen], float)[order]
     bags = arrow_map(sample, _bags(vocabulary), "y double, sentences int, sentence array<int>, word array<int>").toArrow()
     y, sentences = bags["y"].to_numpy(), bags["sentences"].to_numpy()
     lists = [bags[c].combine_chunks() for c in ("sentence", "word")]
@@ -151,7 +156,8 @@ def train(docs: DataFrame, labels: DataFrame, held: Column, bound: int = 8000, l
     plain = sentences - np.bincount(doc, minlength=len(y))
     if not len(y) or not bad or not good:
         return Model(vocabulary[:0], np.zeros(0), -6.0 if not bad else 6.0)
-    weights, bias = fit_noisy_or(y, plain, doc, which, word, len(vocabulary))
+    decay = DECAY * np.maximum(1.0, bad / COMMON / found_in)
+    weights, bias = fit_noisy_or(y, plain, doc, which, word, len(vocabulary), decay=decay)
     return Model(vocabulary, weights, bias)
 
 

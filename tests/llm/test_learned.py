@@ -53,6 +53,20 @@ def test_toxicity(spark, docs, corpus):
     assert toxicity.score(docs([]), model).collect() == []
 
 
+def test_toxicity_of_varied_words(spark, docs):
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    common, rare = [letters(6) for _ in range(300)], [letters(8) for _ in range(200)]
+    toxic = [i % 2 for i in range(1800)]
+    # Each of the rare words is in about one in 100 of the toxic documents.
+    rows = [(i, " ".join(rng.choices(common, k=20) + rng.choices(rare, k=2 * t))) for i, t in enumerate(toxic)]
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    held = held_out(F.col("doc_id"), 3, 1)
+    model = toxicity.train(docs(rows), labels, held_out(F.col("k"), 3, 1))
+    found = toxicity.score(docs(rows), model).filter(held).collect()
+    assert sum((r.score >= 0.5) == toxic[r.doc_id] for r in found) > 0.9 * len(found)
+
+
 def test_quality(spark, docs, corpus):
     df, labels = tables(spark, docs, corpus)
     model = quality.train(df, labels, held_out(F.col("k"), 5, 0))
