@@ -16,6 +16,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows that Spark hands to Python at once; bounds a worker's memory when texts are long.
 BATCH_ROWS = 1000
+#: Bytes of the batches that kernels work on; what they make beside a batch is some times as large.
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,6 +61,19 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+def small_pieces(batches):
+    """The rows of the batches in pieces of at most BATCH_BYTES bytes, or of one row."""
+    for batch in batches:
+        waiting = [batch]
+        while waiting:
+            batch = waiting.pop()
+            if batch.num_rows > 1 and batch.nbytes > BATCH_BYTES:
+                half = batch.num_rows // 2
+                waiting += [batch.slice(half), batch.slice(0, half)]
+            elif batch.num_rows:
+                yield batch
+
+
 def arrow_map(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` over small batches."""
     small_batches(df.sparkSession)

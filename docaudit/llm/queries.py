@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.llm import chat_format, exact_dedup, line_dedup, ngram_join, pseudonyms, quality, source_mixing, subword_sampling, toxicity, vector_forest
+from docaudit.llm import chat_format, exact_dedup, filter_audit, line_dedup, ngram_join, pseudonyms, quality, resampling, sharding, source_mixing, subword_sampling, toxicity, vector_forest
 from docaudit.llm.common import held_out
 
 
@@ -150,5 +150,43 @@ def op10_pseudonyms(spark, d):
     return rows.select("doc_id", F.size("spans").cast("long").alias("n_found"), "spans", "text", _sha(F.col("text")).alias("text_sha256"))
 
 
-RUNS = {f.__name__: f for f in (op1_exact_dedup, op2_ngram_join, op3_sample_pieces, op4_mix_sources, op5_toxicity, op6_line_dedup, op7_vector_forest, op8_chat_format, op9_quality, op10_pseudonyms)}
-SQL = {"op1_exact_dedup": OP1_SQL, "op4_mix_sources": OP4_SQL, "op6_line_dedup": OP6_SQL}
+def op11_shard_ring(spark, d):
+    rows = sharding.assign(table(spark, d, "documents"), shards=24)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "home")
+
+
+def op12_filter_audit(spark, d):
+    return filter_audit.audit_filters(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+OP12_SQL = """
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+m AS (SELECT doc_id, part, len(words) < 200 AS a, 100 * len(list_distinct(words)) < 50 * len(words) AS b,
+             100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+             coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e FROM w),
+g AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+n AS (SELECT part, a, b, c, d, e, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+      FROM m LEFT JOIN g USING (doc_id) GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM l p, l q, l r, l s, l t
+      WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+f AS (SELECT *, CASE WHEN a THEN 'A' ELSE '' END || CASE WHEN b THEN 'B' ELSE '' END || CASE WHEN c THEN 'C' ELSE '' END
+             || CASE WHEN d THEN 'D' ELSE '' END || CASE WHEN e THEN 'E' ELSE '' END AS fails FROM n),
+x AS (SELECT part, filter_order, step, filter_order[step] AS own, fails, n, good, toxic,
+             len(regexp_extract(filter_order, '^[^' || CASE WHEN fails = '' THEN '-' ELSE fails END || ']*')) + 1 AS gone
+      FROM f, o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+y AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (gone > step), 0) AS kept, coalesce(sum(n) FILTER (gone = step), 0) AS removed,
+             coalesce(sum(n) FILTER (contains(fails, own) AND gone < step), 0) AS redundant, coalesce(sum(n) FILTER (fails = own), 0) AS unique_fails,
+             coalesce(sum(good) FILTER (gone = step), 0) AS good_lost, coalesce(sum(toxic) FILTER (gone = step), 0) AS toxic_lost
+      FROM x GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM y
+"""
+
+
+def op13_resample(spark, d):
+    return resampling.resample(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+RUNS = {f.__name__: f for f in (op1_exact_dedup, op2_ngram_join, op3_sample_pieces, op4_mix_sources, op5_toxicity, op6_line_dedup, op7_vector_forest, op8_chat_format, op9_quality, op10_pseudonyms, op11_shard_ring, op12_filter_audit, op13_resample)}
+SQL = {"op1_exact_dedup": OP1_SQL, "op4_mix_sources": OP4_SQL, "op6_line_dedup": OP6_SQL, "op12_filter_audit": OP12_SQL}
