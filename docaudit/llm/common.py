@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -32,7 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the shared folder; Spark removes them when nothing refers to them."""
+    """The rows, computed once and kept in the shared folder. They stay there, unless the session sets
+    spark.cleaner.referenceTracking.cleanCheckpoints; what is needed for a while only belongs into a ``Scratch``."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -54,6 +58,24 @@ class SharedTable:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scratch:
+    """Tables that are needed until a block ends: ``keep`` computes rows once and gives them back, the end of the block drops them all."""
+
+    def __init__(self):
+        self.tables: list[SharedTable] = []
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        for t in self.tables:
+            t.drop()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.tables.append(SharedTable(df))
+        return self.tables[-1].read()
+
+
 def small_batches(spark: SparkSession) -> None:
     """From now on the session hands BATCH_ROWS rows at most to Python at once."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -74,10 +96,24 @@ def small_pieces(batches):
                 yield batch
 
 
+def give_back() -> None:
+    """Returns what this worker no longer uses to the machine: workers wait for further tasks with all that they once took."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` over small batches."""
+    """``mapInArrow`` over small batches; a worker gives its memory back after each task."""
     small_batches(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(tidy, schema)
 
 
 def held_out(key: Column, modulus: int, rest: int) -> Column:
@@ -108,7 +144,8 @@ def _slot(*keys: Column) -> Column:
 
 
 def key_filter(rows: DataFrame, *keys: str) -> Column:
-    """A filter of fixed size, as one value: for each of 256 buckets the bits of the slots of the keys that occur; null without rows."""
+    """A filter of fixed size, as one value: for each of 256 buckets the bits of the slots of the keys that occur; null without rows. Beyond
+    some ten million keys it lets nearly all rows through; results stay right, but the work it saves is lost."""
     slots = rows.select(_slot(*map(F.col, keys)).alias("slot"))
     bits = slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
     return bits.agg(F.map_from_entries(F.collect_list(F.struct("bucket", "bits")))).scalar()

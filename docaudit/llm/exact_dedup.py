@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from docaudit.llm.common import in_filter, key_filter
 
+#: Groups of at least this share of all rows are told to all tasks.
+HOT = 1000
+
+
 def _repeated(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).count().filter("count > 1").select(*keys)
 
@@ -37,10 +41,14 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", prefix
     whole = F.when(same_length, F.when(in_filter(prefixes, F.col("bytes"), begun), F.sha2(F.col("text").cast("binary"), 256)))
     rows = rows.select("id", *names, whole.alias("whole"))
     groups = rows.filter("whole IS NOT NULL").groupBy("whole").agg(F.max("id").alias("keep"), F.count("*").alias("group_size")).filter("group_size > 1")
-    # Rows without a hash get a key that no group has, so that they do not meet in one task.
-    rows = rows.withColumn("whole", F.coalesce("whole", F.concat(F.lit("-"), F.xxhash64("id").cast("string"))))
-    rows = rows.join(groups, "whole", "left")
-    size = F.coalesce("group_size", F.lit(1)).cast("long")
-    keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep"))
+    # Of groups of a HOT-th of all rows or more, there are HOT at most; their rows look them up where they are.
+    large = F.col("group_size") * HOT >= docs.agg(F.count("*")).scalar()
+    hot = groups.filter(large).select(F.col("whole").alias("hot"), F.col("keep").alias("hot_keep"), F.col("group_size").alias("hot_size"))
+    rows = rows.join(F.broadcast(hot), F.col("whole") == F.col("hot"), "left")
+    # They, and rows without a hash, get a key that no group has, so that they do not meet in one task.
+    alone = F.concat(F.lit("-"), F.xxhash64("id").cast("string"))
+    rows = rows.withColumn("whole", F.when(F.col("hot").isNull(), F.coalesce("whole", alone)).otherwise(alone)).join(groups.filter(~large), "whole", "left")
+    size = F.coalesce("hot_size", "group_size", F.lit(1)).cast("long")
+    keep = F.when(size > 1, F.coalesce("hot_keep", "keep")).otherwise(F.col("id"))
     out = rows.select("id", keep.alias("keep"), size.alias("group_size"), *[F.col(n).alias(name) for n, name in names.items()])
     return out.select(F.col("id").alias(key), "keep", "group_size", F.col("id").eqNullSafe(F.col("keep")).alias("kept"), *carry)

@@ -187,7 +187,7 @@ def drop_lines(docs: DataFrame, bitmaps: DataFrame, key: str = "doc_id", text: s
     apply = F.pandas_udf(_apply, "string")
     marked = bitmaps.select(F.col(key).alias("_key"), F.col("digest").alias("_digest"), F.col("bitmap").alias("_bitmap"), F.col("n_dropped").alias("_n"))
     rows = docs.select(F.struct("*").alias("row"), F.col(key).cast("long").alias("id"), F.col(text).alias("text"), _digest(F.col(text)).alias("digest"))
-    rows = rows.join(marked, (F.col("digest") == F.col("_digest")) & F.col("id").eqNullSafe(F.col("_key")), "left")
+    rows = rows.join(marked.hint("shuffle_hash"), (F.col("digest") == F.col("_digest")) & F.col("id").eqNullSafe(F.col("_key")), "left")
     less = apply(F.when(F.col("_bitmap").isNotNull(), F.coalesce("text", F.lit(""))), F.col("_bitmap"))
     changed = F.col("row").withField(text, F.coalesce(less, F.col("text")))
     count = [F.coalesce("_n", F.lit(0)).alias(count_as)] if count_as else []

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.llm.bytetext import blank_table, fold_table, mix, shingles, utf8, words
-from docaudit.llm.common import SharedTable, arrow_map, in_filter, kept, key_filter
+from docaudit.llm.common import Scratch, SharedTable, arrow_map, in_filter, key_filter, small_pieces
 
 #: Counters of the table of estimated shingle frequencies, and how many of them are sent at once; neither depends on the input.
 SLOTS, RANGE = 1 << 22, 1 << 14
@@ -28,8 +28,8 @@ LIST_PART = 4096
 LOW = 4095
 #: Bits of the short sketch of a set.
 SHORT = 512
-#: Size classes per doubling of a set's size, used to join only sets of fitting sizes.
-CLASSES = 44
+#: Size classes per doubling of a set's size, used to join only sets of fitting sizes: with 80 per cent, partners lie in the same class or the next one or two.
+CLASSES = 3
 
 
 def _sets(column: pa.Array, width: int):
@@ -51,7 +51,7 @@ def _node(own: np.ndarray, salt: int) -> int:
 def _count_slots(width: int):
     def run(batches):
         counts = np.zeros(SLOTS, np.uint32)
-        for batch in batches:
+        for batch in small_pieces(batches):
             own = list(_sets(batch.column("text"), width))
             if own:
                 counts += np.bincount((np.concatenate(own) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
@@ -107,7 +107,7 @@ def _apart(a: bytes, b: bytes) -> int:
 
 def _describe(width: int):
     def run(batches):
-        for batch in batches:
+        for batch in small_pieces(batches):
             sizes, nodes, checks, sketches, bits = [], [], [], [], []
             for own in _sets(batch.column("text"), width):
                 sizes.append(len(own))
@@ -143,7 +143,7 @@ def _prefixes(width: int, percent: int, counts):
         mean = float(own_counts.mean())
         usual = math.ceil(mean + 4 * math.sqrt(mean + 1))
         seen: set[int] = set()
-        for batch in batches:
+        for batch in small_pieces(batches):
             out: list[list[np.ndarray]] = []
             for own in _sets(batch.column("text"), width):
                 size = len(own)
@@ -244,7 +244,7 @@ def _may_link(percent: int):
 def _verify(width: int, percent: int):
     def run(batches):
         last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
-        for batch in batches:
+        for batch in small_pieces(batches):
             a, b, good = batch.column("a").to_pylist(), batch.column("b"), np.zeros(batch.num_rows, bool)
             b_sets = _sets(batch.column("b_text"), width)
             # Rows of one a stand together; its set is made once.
@@ -261,23 +261,23 @@ def _verify(width: int, percent: int):
     return run
 
 
-def _components(edges: DataFrame) -> DataFrame:
-    """node, root for every node of the edges a, b (checkpointed): nodes move to their smallest neighbour and edges shrink with them, until none is left."""
+def _components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, root for every node of the edges a, b: nodes move to their smallest neighbour and edges shrink with them, until none is left."""
     whole: DataFrame | None = None
     edges = edges.filter("a <> b")
     while True:
         both = edges.select("a", "b").union(edges.select("b", "a"))
         step = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to"))
-        step = kept(step)
+        step = scratch.keep(step)
         if step.isEmpty():
             return whole if whole is not None else step.withColumnRenamed("to", "root")
         moved = edges.join(step.withColumnsRenamed({"node": "a", "to": "c"}), "a").join(step.withColumnsRenamed({"node": "b", "to": "d"}), "b")
-        edges = kept(moved.filter("c <> d").select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct())
+        edges = scratch.keep(moved.filter("c <> d").select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct())
         if whole is None:
             whole = step.withColumnRenamed("to", "root")
         else:
             new = whole.join(step.withColumnsRenamed({"node": "root"}), "root", "left")
-            whole = kept(new.select("node", F.coalesce("to", "root").alias("root")))
+            whole = scratch.keep(new.select("node", F.coalesce("to", "root").alias("root")))
 
 
 def text_digest(text: Column) -> Column:
@@ -309,54 +309,56 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
     rows = docs.select(F.col(key).cast("long").alias("id"), content.alias("text"))
     with_digest = rows.select("id", text_digest(F.col("text")).alias("digest"), "text")
     counts = spark.sparkContext.broadcast(shingle_weights(docs, width, text))
-    described = kept(arrow_map(with_digest, _describe(width), "id long, digest long, size int, node long, check long, sketch binary, bits array<long>"))
-    filled = described.filter("size > 0")
-    nodes = filled.groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("id", "digest", "size", "sketch", "bits")).alias("sample"), (F.min("check") == F.max("check")).alias("same"))
-    nodes = nodes.filter(F.assert_true("same", F.lit("two sets of shingles have one number")).isNull())
-    nodes = kept(nodes.select("node", "least", "sample.*"))
+    further = [F.col("digest").alias(digest)] if digest else []
+    with Scratch() as scratch:
+        described = scratch.keep(arrow_map(with_digest, _describe(width), "id long, digest long, size int, node long, check long, sketch binary, bits array<long>"))
+        filled = described.filter("size > 0")
+        nodes = filled.groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("id", "digest", "size", "sketch", "bits")).alias("sample"), (F.min("check") == F.max("check")).alias("same"))
+        nodes = nodes.filter(F.assert_true("same", F.lit("two sets of shingles have one number")).isNull())
+        nodes = scratch.keep(nodes.select("node", "least", "sample.*"))
+        parts = _linked(rows, with_digest, nodes, counts, percent, width, scratch)
+        roots = nodes.select("node", "least").join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        smallest = roots.groupBy("root").agg(F.min("least").alias("component"))
+        roots = roots.join(smallest, "root").select("node", "component")
+        out = filled.join(roots, "node").select("id", "size", "component", "node", "digest")
+        alone = described.filter("size = 0").select("id", "size", F.col("id").alias("component"), F.lit(None).cast("long").alias("node"), "digest")
+        out = out.union(alone).select(F.col("id").alias(key), F.col("size").cast("long").alias("n_shingles"), "component", "node", *further)
+        # What is needed until here only, sketches above all, goes; the result stays in the shared folder.
+        out = SharedTable(out).read()
+    counts.destroy()
+    return out
+
+
+def _linked(rows: DataFrame, with_digest: DataFrame, nodes: DataFrame, counts, percent: int, width: int, scratch: Scratch) -> DataFrame:
+    """node, root of all nodes that link with others."""
     dealt = arrow_map(rows.select("text"), _prefixes(width, percent, counts), "list long, node long, info long")
     dealt = dealt.repartition("list").sortWithinPartitions("list", F.col("info").bitwiseAND((1 << 32) - 1), "node")
-    shared = SharedTable(arrow_map(dealt, _lists, "list long, node long, info long, p_node long, p_info long"))
+    shared = scratch.keep(arrow_map(dealt, _lists, "list long, node long, info long, p_node long, p_info long"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         sketches = [nodes.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("sketch").alias(f"{x}_sketch")) for x in "ab"]
-        pairs = kept(arrow_map(pairs.join(sketches[1], "b").join(sketches[0], "a"), _may_link(percent), "a long, b long"))
+        pairs = scratch.keep(arrow_map(pairs.join(sketches[1], "b").join(sketches[0], "a"), _may_link(percent), "a long, b long"))
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", F.col("id").alias("i"), F.col("digest").alias("g"))
         texts = with_digest.filter(in_filter(key_filter(wanted, "g"), F.col("digest")))
-        texts = texts.join(wanted, (F.col("digest") == F.col("g")) & F.col("id").eqNullSafe(F.col("i"))).select("node", "text")
-        texts = SharedTable(texts)
-        try:
-            found = pairs.join(texts.read().withColumnsRenamed({"node": "b", "text": "b_text"}), "b").join(texts.read().withColumnsRenamed({"node": "a", "text": "a_text"}), "a")
-            return kept(arrow_map(found.select("a", "b", "a_text", "b_text"), _verify(width, percent), "a long, b long").distinct())
-        finally:
-            texts.drop()
-
-    try:
-        pivots = _unpacked(_unpacked(shared.read().filter("node <> p_node")), "p_")
-        pivots = pivots.filter(_similar_sizes("", "p_", percent) & _fits("", "p_", percent))
-        links = verified(_counted(pivots.select(F.col("p_node").alias("a"), F.col("node").alias("b"), F.least("many", "p_many").alias("l"))))
-        parts = _components(links)
-        rest = shared.read().select(F.col("list").bitwiseAND(~LOW).alias("token"), "node", "info").join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        place = F.col("info").bitwiseAND((1 << 32) - 1)
-        mains = rest.groupBy("token").agg(F.min(F.struct(place.alias("place"), "node", "root")).alias("main"), F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s")
-        mains = mains.select("token", F.col("main.root").alias("main"))
-        short = nodes.select("node", *[F.get("bits", F.lit(i)).alias(b) for i, b in enumerate(_BITS)])
-        rest = rest.join(mains, "token").select("token", "node", "info", "root", (F.col("root") == F.col("main")).alias("main"))
-        rest = SharedTable(rest.join(short, "node"))
-        try:
-            more = verified(_other_pairs(_unpacked(rest.read()), percent))
-        finally:
-            rest.drop()
-    finally:
-        shared.drop()
-    parts = _components(kept(links.union(more)))
-    roots = nodes.select("node", "least").join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = roots.groupBy("root").agg(F.min("least").alias("component"))
-    roots = roots.join(smallest, "root").select("node", "component")
-    out = filled.join(roots, "node").select("id", "size", "component", "node", "digest")
-    alone = described.filter("size = 0").select("id", "size", F.col("id").alias("component"), F.lit(None).cast("long").alias("node"), "digest")
-    further = [F.col("digest").alias(digest)] if digest else []
-    return out.union(alone).select(F.col("id").alias(key), F.col("size").cast("long").alias("n_shingles"), "component", "node", *further)
+        texts = texts.join(wanted.hint("shuffle_hash"), (F.col("digest") == F.col("g")) & F.col("id").eqNullSafe(F.col("i"))).select("node", "text")
+        with Scratch() as own:
+            texts = own.keep(texts)
+            found = pairs.join(texts.withColumnsRenamed({"node": "b", "text": "b_text"}), "b").join(texts.withColumnsRenamed({"node": "a", "text": "a_text"}), "a")
+            return scratch.keep(arrow_map(found.select("a", "b", "a_text", "b_text"), _verify(width, percent), "a long, b long").distinct())
+
+    pivots = _unpacked(_unpacked(shared.filter("node <> p_node")), "p_")
+    pivots = pivots.filter(_similar_sizes("", "p_", percent) & _fits("", "p_", percent))
+    links = verified(_counted(pivots.select(F.col("p_node").alias("a"), F.col("node").alias("b"), F.least("many", "p_many").alias("l"))))
+    parts = _components(links, scratch)
+    rest = shared.select(F.col("list").bitwiseAND(~LOW).alias("token"), "node", "info").join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    place = F.col("info").bitwiseAND((1 << 32) - 1)
+    mains = rest.groupBy("token").agg(F.min(F.struct(place.alias("place"), "node", "root")).alias("main"), F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s")
+    mains = mains.select("token", F.col("main.root").alias("main"))
+    short = nodes.select("node", *[F.get("bits", F.lit(i)).alias(b) for i, b in enumerate(_BITS)])
+    rest = rest.join(mains, "token").select("token", "node", "info", "root", (F.col("root") == F.col("main")).alias("main"))
+    with Scratch() as own:
+        more = verified(_other_pairs(_unpacked(own.keep(rest.join(short, "node"))), percent))
+    return _components(scratch.keep(links.union(more)), scratch)
 
 
 _BITS = [f"b{i}" for i in range(SHORT // 64)]

@@ -6,16 +6,17 @@ attention: softmax over the document of w (tanh(V h) * sigmoid(U h)). The score
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docaudit.llm.bytetext import blank_table, utf8, words
-from docaudit.llm.common import arrow_map, labelled_sample
+from docaudit.llm.common import arrow_map, give_back, labelled_sample, small_batches, small_pieces
 
 #: Words in a passage; a shorter rest of fewer than REST words belongs to the passage before it.
 PASSAGE, REST = 64, 16
@@ -149,6 +150,24 @@ def train(docs: DataFrame, labels: DataFrame, held: Column, bound: int = 6000, l
     return Model(mean, scale, fit_attention((x - mean) / scale, doc, y))
 
 
+def score_column(spark: SparkSession, model: Model, text: Column) -> Column:
+    """The score of ``score`` as a column. Only the text goes to Python, and only the score comes back."""
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        m = shared.value
+        for part in texts:
+            scores = []
+            for piece in small_pieces([pa.record_batch([part], ["text"])]):
+                x, doc = passages(piece.column("text"))
+                scores.append(1 / (1 + np.exp(-forward(m.weights, np.clip((x - m.mean) / m.scale, -20, 20), doc, piece.num_rows)["logit"])))
+            yield pa.array(np.concatenate(scores) if scores else np.zeros(0))
+        give_back()
+
+    small_batches(spark)
+    return F.arrow_udf(run, "double")(text)
+
+
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, score (probability of label 1), passages (their number), weights (the attention of each, in order).
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docaudit.llm.common import in_filter, kept, key_filter
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -87,7 +89,27 @@ def mixing_plan(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_repeat:
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_repeat: int = 3, share: float = 1.0, seed: int = 0, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The documents of the mix with all their columns, each as often as ``mixing_plan`` takes it."""
-    rows = docs.select(F.col(key).alias("id"), F.col(source).alias("source"), word_count(text).alias("size"), F.struct("*").alias("row"))
-    rows = _planned(rows, weights, max_repeat, share, seed).filter("copies > 0")
-    return rows.select(F.explode(F.array_repeat("row", F.col("copies").cast("int"))).alias("row")).select("row.*")
+    """The documents of the mix with all their columns, each as often as ``mixing_plan`` takes it.
+
+    The plan is made of keys, sources, sizes and hashes of texts; texts are shuffled once, to meet the number of their copies, and never sorted.
+    Rows that agree in key, source and text share the copies planned for them: each is taken as often as they are on average, rounded down, and what
+    is left over falls on one of them.
+    """
+    names = ["_k", "_s", "_t"]
+    same = [F.col(key), F.col(source), F.xxhash64(F.coalesce(F.col(text), F.lit("")))]
+    rows = docs.select(F.col(key).alias("id"), F.col(source).alias("source"), word_count(text).alias("size"), same[2].alias("digest"))
+    plan = _planned(rows, weights, max_repeat, share, seed)
+    plan = kept(plan.groupBy(F.col("id").alias("_k"), F.col("source").alias("_s"), F.col("digest").alias("_t")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).filter("_copies > 0"))
+
+    def copied(df: DataFrame, plan: DataFrame, copies: Column) -> DataFrame:
+        met = df.select(F.struct("*").alias("row"), *[x.alias(f"own{n}") for x, n in zip(same, names)])
+        met = met.join(plan.hint("shuffle_hash"), [F.col(f"own{n}").eqNullSafe(F.col(n)) for n in names])
+        return met.select("row", copies.cast("int").alias("copies")).filter("copies > 0").select(F.explode(F.array_repeat("row", F.col("copies")))).select("col.*")
+
+    out = copied(docs, plan, F.floor(F.col("_copies") / F.col("_rows")))
+    uneven = plan.filter("_copies % _rows > 0")
+    if uneven.isEmpty():
+        return out
+    one = Window.partitionBy(*same).orderBy(F.xxhash64(*[F.col(c) for c in docs.columns]))
+    found = docs.filter(in_filter(key_filter(uneven, "_t"), same[2])).withColumn("_nth", F.row_number().over(one)).filter("_nth = 1").drop("_nth")
+    return out.unionByName(copied(found, uneven, F.col("_copies") % F.col("_rows")))
