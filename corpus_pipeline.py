@@ -19,8 +19,7 @@ GOOD = 0.3
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject. It learns from the labels of the rows that the registered query learns from."""
     model = quality.train(docs, table(spark, sf_dir, "labels"), held_out(F.col("k"), 5, 0))
-    scored = quality.score(docs.select(F.struct("*").alias("row"), "text"), model, key="row")
-    return scored.filter(F.col("score") >= GOOD).select("row.*")
+    return docs.filter(quality.score_column(spark, model, F.col("text")) >= GOOD)
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +33,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     so do documents without doc_id, and rows that repeat the one that stays. A document is a doc_id with a text: where rows of one doc_id
     have different texts, only those go whose own text has a near copy of a smaller doc_id."""
     others = ngram_join.near_duplicates(docs, digest="_digest").filter("component <> doc_id").select(F.col("doc_id").alias("_id"), "_digest").distinct()
-    return docs.join(others, (docs["doc_id"] == others["_id"]) & (ngram_join.text_digest(docs["text"]) == others["_digest"]), "left_anti")
+    return docs.join(others.hint("shuffle_hash"), (docs["doc_id"] == others["_id"]) & (ngram_join.text_digest(docs["text"]) == others["_digest"]), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
