@@ -6,7 +6,7 @@ a busy agent meets one task, and the same expressions serve batch and stream.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docaudit.functions import patterns as P
@@ -110,6 +110,35 @@ def first_answers(comments: DataFrame) -> DataFrame:
     )
 
 
+#: Places of a feed that are ordered at once.
+STRETCH = 1 << 16
+
+
+def answer_history(comments: DataFrame, width: int = STRETCH) -> DataFrame:
+    """H4 for all answers: each with the question it belongs to, the latest one of its agent before it; NULL where none was asked.
+
+    An as-of join in stretches of ``width`` places: a stretch looks at its own questions in order and is told the last one before it, so
+    no agent's feed is ordered in one task. Questions of a stretch are reduced before they are ordered by agent.
+    """
+    tags = tagged(comments).withColumn("stretch", F.floor(F.col("seq") / width))
+    asked = F.when(F.col("kind") == "question", F.struct("seq", "text", "created_at"))
+    tags = tags.withColumn("asked", asked)
+    part = [*KEY, "stretch"]
+    ends = tags.groupBy(*part).agg(F.max_by("asked", F.col("asked.seq")).alias("ends"))
+    before = Window.partitionBy(*KEY).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*part, F.last("ends", ignorenulls=True).over(before).alias("carried"))
+    inside = Window.partitionBy(*part).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = tags.join(carried, part).withColumn("asked", F.coalesce(F.last("asked", ignorenulls=True).over(inside), F.col("carried")))
+    return placed.where(F.col("kind") == "answer").select(
+        *KEY,
+        F.col("seq").alias("answer_seq"),
+        F.col("text").alias("answer"),
+        F.col("asked.seq").alias("question_seq"),
+        F.col("asked.text").alias("question"),
+        F.col("asked.created_at").alias("asked_at"),
+    )
+
+
 def answer_tracks(tracks: DataFrame, answers: DataFrame, as_of: Column) -> DataFrame:
     """H5: tracks of polled issues with their awaiting questions answered; ``updated_at`` is set where one was.
 

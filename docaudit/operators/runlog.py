@@ -244,8 +244,17 @@ def run_status(runs: DataFrame, agents: DataFrame, strategy: Column | None = Non
         F.count_if(hard_failure()).alias("n_hard"),
     )
     names = ["n_agents", *[f"n_{s}" for s in P.AGENT_STATUSES], "n_hard"]
+    return (
+        runs.withColumn("strategy", strategy if strategy is not None else F.lit(None).cast("string"))
+        .join(counts, "run_id", "left")
+        .na.fill(0, names)
+        .withColumn("status", _status_of_counts())
+    )
+
+
+def _status_of_counts() -> Column:
     n, done, hard = F.col("n_agents"), F.col("n_completed"), F.col("n_hard")
-    status = (
+    return (
         F.when(n == 0, "running")
         .when(F.equal_null(F.col("strategy"), F.lit("all_or_nothing")) & (hard > 0), "failed")
         .when(done == n, "completed")
@@ -253,13 +262,53 @@ def run_status(runs: DataFrame, agents: DataFrame, strategy: Column | None = Non
         .when(done + hard == n, "failed")
         .otherwise("running")
     )
-    return (
-        runs.withColumn("strategy", strategy if strategy is not None else F.lit(None).cast("string"))
-        .join(counts, "run_id", "left")
-        .na.fill(0, names)
-        .withColumn("status", status)
+
+
+def status_timeline(events: DataFrame, strategies: DataFrame | None = None, width: int = WIDTH) -> DataFrame:
+    """F4 after every event: for each registration and accepted update of the present state of a run, its agents by status and its status then.
+
+    ``strategies`` holds (run_id, strategy). An event changes the counts of its run by what it makes of its agent, so two prefix scans over stretches
+    give all states: along the agent, for the status and reason before the event, and along the run, for the sums of changes.
+    A stretch is told what came before it, so neither an agent nor a run is ordered in one task.
+    """
+    registered, updates = live_events(events)
+    why = F.when(F.col("status") == "interrupted", _filled("interrupt_reason"))
+    new = registered.select(*AGENT, F.col("register_seq").alias("seq"), F.lit("pending").alias("status"), F.lit(None).cast("string").alias("why"))
+    changes = new.unionByName(updates.select(*AGENT, "seq", "status", why.alias("why"))).withColumn("stretch", F.floor(F.col("seq") / width))
+
+    part = [*AGENT, "stretch"]
+    ends = changes.groupBy(*part).agg(F.max_by("status", "seq").alias("status"), F.max_by("why", F.when(F.col("why").isNotNull(), F.col("seq"))).alias("why"))
+    earlier = Window.partitionBy(*AGENT).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*part, F.last("status").over(earlier).alias("was"), F.last("why", ignorenulls=True).over(earlier).alias("because"))
+    along = Window.partitionBy(*part).orderBy("seq")
+    before, upto = (along.rowsBetween(Window.unboundedPreceding, x) for x in (-1, 0))
+    changes = changes.join(carried, part).withColumns(
+        {
+            "was": F.coalesce(F.lag("status").over(along), F.col("was")),
+            "why_was": F.coalesce(F.last("why", ignorenulls=True).over(before), F.col("because")),
+            "why_is": F.coalesce(F.last("why", ignorenulls=True).over(upto), F.col("because")),
+        }
     )
 
+    def hard(status: str, reason: str) -> Column:
+        quota = F.equal_null(F.col(reason), F.lit(P.QUOTA))
+        return F.coalesce((F.col(status) == "failed") | ((F.col(status) == "interrupted") & ~quota), F.lit(False)).cast("long")
+
+    counts = {f"n_{s}": F.equal_null(F.col("status"), F.lit(s)).cast("long") - F.equal_null(F.col("was"), F.lit(s)).cast("long") for s in P.AGENT_STATUSES}
+    counts = {"n_agents": F.col("was").isNull().cast("long")} | counts | {"n_hard": hard("status", "why_is") - hard("was", "why_was")}
+    steps = changes.select("run_id", "stretch", "seq", "agent_id", *[v.alias(k) for k, v in counts.items()])
+
+    sums = steps.groupBy("run_id", "stretch").agg(*[F.sum(k).alias(k) for k in counts])
+    earlier = Window.partitionBy("run_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("run_id", "stretch", *[F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(f"{k}_before") for k in counts])
+    upto = Window.partitionBy("run_id", "stretch").orderBy("seq", "agent_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = steps.join(offsets, ["run_id", "stretch"]).withColumns({k: F.col(f"{k}_before") + F.sum(k).over(upto) for k in counts})
+    if strategies is None:
+        steps = steps.withColumn("strategy", F.lit(None).cast("string"))
+    else:
+        steps = steps.join(strategies.select("run_id", "strategy"), "run_id", "left")
+    return steps.select("run_id", "seq", "agent_id", *counts, _status_of_counts().alias("status"))
+
 
 def phase_listing(agents: DataFrame) -> DataFrame:
     """agents under their phase, phases in the order they were first seen."""

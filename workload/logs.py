@@ -110,6 +110,11 @@ def run_statuses(spark, d):
     return status.select("run_id", "profile", "n_agents", "n_pending", "n_running", "n_completed", "n_failed", "n_interrupted", "status")
 
 
+def run_status_timeline(spark, d):
+    strategies = _runs(spark, d).select("run_id", F.when(F.col("profile") == "legal", "all_or_nothing").alias("strategy"))
+    return R.status_timeline(run_events(spark, d), strategies, WIDTH)
+
+
 def phase_listing(spark, d):
     return R.phase_listing(agent_states(spark, d)).select("run_id", "phase", "phase_seq", "agent_id", "status", "retries")
 
@@ -187,6 +192,10 @@ def question_snapshot(spark, d):
     return Q.question_snapshot(comments(spark, d))
 
 
+def answer_history(spark, d):
+    return Q.answer_history(comments(spark, d), width=3)
+
+
 def first_answers(spark, d):
     return Q.first_answers(comments(spark, d))
 
@@ -260,6 +269,20 @@ QUERIES = {
             WHEN n_completed = n_agents THEN 'completed' WHEN n_completed + n_hard = n_agents AND n_completed > 0 THEN 'partial'
             WHEN n_completed + n_hard = n_agents THEN 'failed' ELSE 'running' END AS status FROM c""",
     ),
+    "run_status_timeline": (
+        run_status_timeline,
+        f"""WITH {_EVENTS_SQL}, step AS (SELECT l.run_id, l.agent_id, l.seq, CASE op WHEN 'register' THEN 'pending' ELSE l.status END AS status,
+                CASE WHEN l.status = 'interrupted' AND op = 'update' THEN why END AS why FROM live l),
+        told AS (SELECT *, last_value(why IGNORE NULLS) OVER (PARTITION BY run_id, agent_id ORDER BY seq) AS because FROM step),
+        hd AS (SELECT *, (status = 'failed' OR (status = 'interrupted' AND because IS DISTINCT FROM 'quota_exhausted'))::INT AS hard FROM told),
+        dl AS (SELECT *, lag(status) OVER w AS was, coalesce(lag(hard) OVER w, 0) AS was_hard FROM hd WINDOW w AS (PARTITION BY run_id, agent_id ORDER BY seq)),
+        sm AS (SELECT run_id, seq, agent_id, count(*) FILTER (was IS NULL) OVER r AS n_agents,
+            {", ".join(f"(count(*) FILTER (status = '{x}') OVER r - count(*) FILTER (was = '{x}') OVER r) AS n_{x}" for x in ("pending", "running", "completed", "failed", "interrupted"))},
+            (sum(hard - was_hard) OVER r)::BIGINT AS n_hard FROM dl WINDOW r AS (PARTITION BY run_id ORDER BY seq))
+        SELECT sm.*, CASE WHEN profile = 'legal' AND n_hard > 0 THEN 'failed' WHEN n_completed = n_agents THEN 'completed'
+            WHEN n_completed + n_hard = n_agents AND n_completed > 0 THEN 'partial' WHEN n_completed + n_hard = n_agents THEN 'failed' ELSE 'running' END AS status
+        FROM sm JOIN run USING (run_id)""",
+    ),
     "phase_listing": (
         phase_listing,
         f"""WITH {_EVENTS_SQL} SELECT run_id, phase, min(register_seq) OVER (PARTITION BY run_id, phase) AS phase_seq, agent_id, status, retries
@@ -316,6 +339,12 @@ QUERIES = {
         SELECT q.issue_number, q.agent, question, created_at, author, CASE WHEN a.seq > q.seq THEN a.answer END AS answer
         FROM q LEFT JOIN a USING (issue_number, agent)""",
     ),
+    "answer_history": (
+        answer_history,
+        f"""WITH {_TAGS_SQL}, asked AS (SELECT * FROM tag WHERE role = 'user')
+        SELECT a.issue_number, a.agent, a.seq AS answer_seq, a.text AS answer, k.seq AS question_seq, k.text AS question, k.created_at AS asked_at
+        FROM tag a ASOF LEFT JOIN asked k ON a.issue_number = k.issue_number AND a.agent = k.agent AND a.seq > k.seq WHERE a.role = 'assistant'""",
+    ),
     "first_answers": (
         first_answers,
         f"WITH {_TAGS_SQL}, {_ANSWER_SQL} SELECT issue_number, agent, first_answer AS answer FROM a WHERE first_answer IS NOT NULL",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docaudit.functions import text as X
-from docaudit.operators import assembly, sanitizing
+from docaudit.operators import assembly, passages, sanitizing
 from workload.common import longs, table, text
 
 ZERO_WIDTH = "\u200b"
@@ -136,7 +136,29 @@ def shared_passages(spark, d):
     return assembly.shared_passages(lines, "source", "line").select("passage", "n_sources", "n_copies", "first_source")
 
 
+def near_passages(spark, d):
+    docs = table(spark, d, "documents")
+    lines = docs.select("source", F.explode(F.split("text", "\n")).alias("line"))
+    return passages.near_passages(lines, "source", "line")
+
+
 QUERIES = {
+    "near_passages": (
+        near_passages,
+        """WITH RECURSIVE l AS (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents),
+        k AS (SELECT source, trim(regexp_replace(lower(line), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS form FROM l),
+        f AS (SELECT form, row_number() OVER (ORDER BY form) AS id, string_split(form, ' ') AS w FROM (SELECT DISTINCT form FROM k WHERE form <> '')),
+        s AS (SELECT DISTINCT id, array_to_string(w[i:i + 2], ' ') AS shingle FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM f)),
+        n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+        p AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.id < b.id GROUP BY 1, 2),
+        e AS (SELECT a, b FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+        both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        r AS (SELECT a AS id, a AS reached FROM both_ways UNION SELECT r.id, b FROM r JOIN both_ways ON a = reached),
+        c AS (SELECT id, min(reached) AS class FROM r GROUP BY id),
+        g AS (SELECT coalesce(c.class, f.id) AS class, f.id, f.form, source FROM k JOIN f USING (form) LEFT JOIN c ON c.id = f.id)
+        SELECT min(form) AS passage, count(DISTINCT id) AS n_forms, count(DISTINCT source) AS n_sources, count(*) AS n_copies, min(source) AS first_source
+        FROM g GROUP BY class HAVING count(DISTINCT source) > 1""",
+    ),
     "sanitized_pages": (
         sanitized_pages,
         f"""WITH {_sanitized_sql("SELECT page_id, html AS txt FROM pages", "page_id")}
