@@ -147,6 +147,56 @@ def recency_check(findings: DataFrame, required: bool = False) -> DataFrame:
     return gate_result("recency_check", required, findings, F.count(F.lit(1)), F.count_if("stale"))
 
 
+# One pass -----------------------------------------------------------------------------------------------------
+
+
+def mention_counts(docs: DataFrame, as_of: Column, path: str = "path", text: str = "text") -> DataFrame:
+    """E1, E3, E4 from one reading of the documents: kind (citation, url, date), key, n, n_failed.
+
+    A citation's key is its text in lower case, whether it holds is not known here; URLs and dates are judged where they are found, and their key
+    is NULL. Counts combine before the shuffle, so what leaves the documents is one row per distinct citation and kind.
+    """
+    t = F.col(text)
+
+    def found(pattern: str, kind: str, form: str) -> Column:
+        return F.transform(mentions(t, pattern, 0), lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("raw"), F.lit(form).alias("form")))
+
+    every = F.concat(
+        found(P.CITATION_ARTICLE, "citation", ""),
+        found(P.CITATION_SECTION, "citation", ""),
+        found(P.AUDIT_URL, "url", ""),
+        found(P.AUDIT_DATE_ISO, "date", YMD),
+        found(P.AUDIT_DATE_WRITTEN, "date", WRITTEN),
+    )
+    rows = with_date(docs.select(F.explode(every).alias("m")).select("m.*"), "raw", "form", "date")
+    url = F.rtrim(F.col("raw"), F.lit(P.AUDIT_URL_TAIL))
+    bad_url = ~F.rlike(url, F.lit(P.HOST_FORM)) | (F.regexp_count(url, F.lit("//")) > 1)
+    stale = F.col("date").cast("timestamp") < as_of.cast("timestamp") - F.make_dt_interval(F.lit(P.STALE_AFTER_DAYS))
+    # As rows of an array, so that the filter on dates is not moved below where they are made.
+    judged = F.struct("kind", "date", F.when(F.col("kind") == "citation", F.lower("raw")).alias("key"), F.when(F.col("kind") == "url", bad_url).when(F.col("kind") == "date", stale).alias("failed"))
+    rows = rows.select(F.explode(F.array(judged)).alias("m")).select("m.*").where((F.col("kind") != "date") | F.col("date").isNotNull())
+    return rows.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"), F.count_if("failed").alias("n_failed"))
+
+
+#: The gate that judges each kind of mention.
+GATES = {"citation": "citation_audit", "url": "source_verification", "date": "recency_check"}
+
+
+def mention_gates(counts: DataFrame, sources: DataFrame) -> DataFrame:
+    """The results of the three gates from ``mention_counts``, which is read once; citations are looked up in the sources."""
+    known = citation_index(sources).select(F.col("ref_key").alias("key"), F.lit(True).alias("found"))
+    judged = counts.join(known, "key", "left")
+    missing = F.when((F.col("kind") == "citation") & F.col("found").isNull(), F.col("n")).otherwise(F.col("n_failed"))
+    kinds = sources.sparkSession.createDataFrame([(k,) for k in GATES], "kind string")
+    sums = judged.groupBy("kind").agg(F.sum("n").alias("n_checked"), F.sum(missing).alias("n_failed"))
+    gate = F.create_map(*[F.lit(x) for pair in GATES.items() for x in pair])
+    rows = kinds.join(sums, "kind", "left").select(F.element_at(gate, F.col("kind")).alias("name"), "n_checked", "n_failed")
+    there = sources.agg(F.count(F.lit(1)) > 0).scalar()
+    idle = (F.col("name") == "citation_audit") & ~there
+    done = _by_profile("", rows, idle)
+    return done.select(F.col("name").alias("gate_type"), F.lit(False).alias("required"), "passed", "skipped", "n_checked", "n_failed", "details")
+
+
 # Scope --------------------------------------------------------------------------------------------------------
 
 
@@ -206,12 +256,12 @@ def _by_profile(gate_type: str, counted: DataFrame, idle: Column) -> DataFrame:
     )
 
 
-def citation_audit_by_profile(docs: DataFrame, sources: DataFrame, names: DataFrame, truths: DataFrame) -> DataFrame:
-    """E2 per profile: citations of all documents against the sources of each; skipped where none of these exists.
+def citation_audit_by_profile(counts: DataFrame, sources: DataFrame, names: DataFrame, truths: DataFrame) -> DataFrame:
+    """E2 per profile: citations of all documents, from ``mention_counts``, against the sources of each profile; skipped where none of these exists.
 
-    ``truths`` (name, path) lists the sources of profiles. Citations are counted once, and each source is read once.
+    ``truths`` (name, path) lists the sources of profiles. Each source is read once.
     """
-    counted = citations(docs, "path").groupBy("ref").agg(F.count(F.lit(1)).alias("n")).withColumn("ref_key", F.lower("ref"))
+    counted = counts.where("kind = 'citation'").select(F.col("key").alias("ref_key"), "n")
     used = sources.join(truths.distinct(), "path").select("name", "path", "text")
     known = citation_index(used, "text", ["name"])
     found = counted.join(known, "ref_key").groupBy("name").agg(F.sum("n").alias("n_found"))

@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docaudit.operators import audits, claims, contradictions, runlog, sanitizing
+from docaudit.operators import audits, claims, contradictions, questions, runlog, sanitizing
 from docaudit.sources.records import deterministic_gates
+from docaudit.sources.shared import written
 
 
 @dataclass
@@ -66,9 +67,10 @@ def run_gates(
     """
     gates = deterministic_gates(profiles)
     keyed = audits.locale_keys(locales)
+    # The documents are read here, once; what is kept is one row per distinct citation.
+    counts = written(audits.mention_counts(docs, as_of), "mentions")
     common = [
-        audits.source_verification(audits.url_findings(docs)),
-        audits.recency_check(audits.date_findings(docs, as_of)),
+        audits.mention_gates(counts, sources).where("gate_type <> 'citation_audit'"),
         audits.string_coverage(audits.coverage_findings(keyed)),
     ]
     if logs is not None:
@@ -77,7 +79,7 @@ def run_gates(
     for one in common[1:]:
         results = results.unionByName(one)
     names = profiles.select("name")
-    own = audits.citation_audit_by_profile(docs, sources, names, profiles.select("name", F.explode(F.map_values("shared_truth")).alias("path")))
+    own = audits.citation_audit_by_profile(counts, sources, names, profiles.select("name", F.explode(F.map_values("shared_truth")).alias("path")))
     scopes = gates.where(F.col("gate_type") == "scope_validation").select("name", F.explode("commit_scope").alias("prefix"))
     own = own.unionByName(audits.scope_validation_by_profile(changed, names, scopes))
     wide = ["passed", "skipped", "n_checked", "n_failed", "details"]
@@ -94,6 +96,17 @@ def run_gates(
     return listed, verdicts.na.fill({"verdict": "no_gates", "exit_code": 0}).na.fill(0)
 
 
+def poll_questions(tracks: DataFrame, comments: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """One poll: the snapshot of questions of the issues that tracks wait for, and the tracks with what was answered.
+
+    Only the feeds of these issues are read. Nothing awaiting gives an empty snapshot and the tracks as they are.
+    """
+    waiting = questions.issues_awaiting(tracks)
+    feed = comments.join(waiting.select("issue_number"), "issue_number", "left_semi")
+    answered = questions.answer_tracks(tracks, questions.first_answers(feed), as_of)
+    return questions.question_snapshot(feed, waiting), answered
+
+
 def resume_runs(
     events: DataFrame, runs: DataFrame, profiles: DataFrame, width: int = runlog.WIDTH
 ) -> tuple[DataFrame, DataFrame]:

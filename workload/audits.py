@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from docaudit import schemas
 from docaudit.operators import assembly, audits
+from docaudit.plans import jobs
+from docaudit.sources import records
 from workload.common import table, text
 
 
@@ -116,15 +118,11 @@ def scope_findings(spark, d):
 
 
 def scope_findings_by_table(spark, d):
-    """Allowed are the folders of the parts that were ever returned."""
+    """A folder per line item; of items that came back singly it is the folder of the part, of others another one."""
     changed = _changed(spark, d)
-    returned = (
-        table(spark, d, "lineitem").where((F.col("l_returnflag") == "R") & (F.col("l_quantity") == 1))
-        .select(F.col("l_partkey").alias("p_partkey")).distinct()
-    )
-    folders = table(spark, d, "part").join(returned, "p_partkey", "left_semi").select(
-        text(F.lower("p_type"), "/", F.replace("p_name", F.lit(" "), F.lit("_")), "/").alias("prefix")
-    )
+    items = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), ((F.col("l_returnflag") == "R") & (F.col("l_quantity") == 1)).alias("single"))
+    folder = text(F.lower("p_type"), "/", F.replace("p_name", F.lit(" "), F.lit("_")), "/")
+    folders = items.join(table(spark, d, "part"), "p_partkey").select(F.when(F.col("single"), folder).otherwise(F.concat(F.lit("other/"), folder)).alias("prefix"))
     return audits.scope_findings_by_table(changed, folders)
 
 
@@ -222,7 +220,8 @@ def overlaid_settings(spark, d):
 
 def completeness(spark, d):
     needed = table(spark, d, "customer").select(F.col("c_custkey").alias("name"))
-    there = table(spark, d, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("name"))
+    key = F.col("o_custkey")
+    there = table(spark, d, "orders").select(F.when(F.col("o_totalprice") > 400000, key).otherwise(-key).alias("name"))
     return assembly.completeness(needed, there)
 
 
@@ -241,6 +240,44 @@ def profile_checks(spark, d):
     return assembly.profile_checks(parsed)
 
 
+def _all_mentions(spark, d):
+    """All documents of the audits above in one table."""
+    return _cited(spark, d).unionByName(_linked(spark, d)).unionByName(_dated(spark, d))
+
+
+def document_gates(spark, d):
+    """The gates over citations, URLs and dates from one reading of the documents."""
+    return audits.mention_gates(audits.mention_counts(_all_mentions(spark, d), F.lit(AS_OF)), _sources(spark, d))
+
+
+def _profiles(spark, d):
+    """A profile per supplier, which lists the gates that its key has bits for; some allow folders of changes, some name sources."""
+    s = table(spark, d, "supplier")
+    k = F.col("s_suppkey")
+    gate = lambda bit, body: F.when(F.floor(k / bit) % 2 == 1, body)
+    gates = F.concat_ws(
+        ",",
+        gate(1, F.lit('{"type":"recency_check","mechanism":"deterministic","required":false}')),
+        gate(2, F.lit('{"type":"source_verification","mechanism":"deterministic"}')),
+        gate(4, F.lit('{"type":"citation_audit","mechanism":"deterministic","required":true}')),
+        gate(8, F.lit('{"type":"scope_validation","mechanism":"deterministic","commit_scope":["economy/","prom","standard"]}')),
+        gate(16, F.lit('{"type":"review","mechanism":"human"}')),
+        gate(32, F.lit('{"type":"lint","mechanism":"deterministic"}')),
+    )
+    truth = F.when(k % 3 == 0, '{"law":"sources/all.md"}').when(k % 3 == 1, '{"law":"sources/none.md"}').otherwise("{}")
+    body = text('{"domain":"d","shared_truth":', truth, ',"quality_gates":[', gates, "]}")
+    files = s.select(text("p/", F.col("s_suppkey"), ".json").alias("path"), body.cast("binary").alias("content"), F.lit("2024-01-01").cast("timestamp").alias("modified"))
+    return records.parse_profiles(files)
+
+
+def profile_verdicts(spark, d):
+    """The verdict of every supplier's profile over all documents and changes."""
+    sources = _sources(spark, d).withColumn("path", F.lit("sources/all.md"))
+    locales = spark.createDataFrame([], "locale_file string, json string")
+    _, verdicts = jobs.run_gates(_profiles(spark, d), _all_mentions(spark, d), sources, locales, _changed(spark, d), F.lit(AS_OF))
+    return verdicts.select("name", "verdict", "exit_code", *[F.col(c).cast("long").alias(c) for c in ("n_passed", "n_failed", "n_skipped")])
+
+
 def _gate_sql(gate: str, required: str, ctes: str, n: str, failed: str) -> str:
     return f"""WITH {ctes}, g AS ({n.replace("FAILED", failed)})
         SELECT '{gate}' AS gate_type, {required} AS required, n_failed = 0 AS passed, false AS skipped,
@@ -257,6 +294,31 @@ QUERIES = {
         _gate_sql("citation_audit", "true", _CITED_SQL, "SELECT count(*) AS n_checked, count(*) FILTER (FAILED) AS n_failed FROM ref",
                   "ref NOT IN (SELECT ref FROM hit)"),
     ),
+    "document_gates": (
+        document_gates,
+        f"""WITH {_CITED_SQL}, {_URL_SQL}, {_DATED_SQL}, g AS (
+            SELECT 'citation_audit' AS gate_type, count(*) AS n_checked, count(*) FILTER (ref NOT IN (SELECT ref FROM hit)) AS n_failed FROM ref
+            UNION ALL SELECT 'source_verification', count(*), count(problem) FROM judged
+            UNION ALL SELECT 'recency_check', count(*), count(*) FILTER (date < DATE '1998-12-01' - 183) FROM m)
+        SELECT gate_type, false AS required, n_failed = 0 AS passed, false AS skipped, n_checked, n_failed,
+               n_checked || ' checked, ' || n_failed || ' failed' AS details FROM g""",
+    ),
+    "profile_verdicts": (
+        profile_verdicts,
+        f"""WITH {_CITED_SQL}, {_URL_SQL}, {_DATED_SQL}, {_CHANGED_SQL},
+        x AS (SELECT (SELECT count(*) FILTER (date < DATE '1998-12-01' - 183) > 0 FROM m) AS old, (SELECT count(problem) > 0 FROM judged) AS bad,
+                (SELECT count(*) FILTER (ref NOT IN (SELECT ref FROM hit)) > 0 FROM ref) AS missing,
+                (SELECT count(*) FILTER (NOT (starts_with(replace(path, chr(92), '/'), 'economy/') OR starts_with(path, 'prom') OR starts_with(path, 'standard'))) > 0 FROM f) AS outside),
+        g AS (SELECT s_suppkey AS k, true AS ran, old AS failed, false AS required FROM supplier, x WHERE s_suppkey % 2 = 1
+            UNION ALL SELECT s_suppkey, true, bad, false FROM supplier, x WHERE s_suppkey // 2 % 2 = 1
+            UNION ALL SELECT s_suppkey, s_suppkey % 3 = 0, missing, true FROM supplier, x WHERE s_suppkey // 4 % 2 = 1
+            UNION ALL SELECT s_suppkey, true, outside, true FROM supplier, x WHERE s_suppkey // 8 % 2 = 1
+            UNION ALL SELECT s_suppkey, false, false, false FROM supplier, x WHERE s_suppkey // 32 % 2 = 1),
+        c AS (SELECT s_suppkey AS k, count(g.k) AS n, count(*) FILTER (ran AND NOT failed) AS n_passed, count(*) FILTER (ran AND failed) AS n_failed,
+                count(*) FILTER (NOT ran) AS n_skipped, count(*) FILTER (ran AND failed AND required) AS hard FROM supplier LEFT JOIN g ON g.k = s_suppkey GROUP BY 1)
+        SELECT k::VARCHAR AS name, CASE WHEN n = 0 THEN 'no_gates' WHEN hard > 0 THEN 'blocked' WHEN n_passed + n_failed = 0 THEN 'inconclusive' ELSE 'passed' END AS verdict,
+               CASE WHEN n = 0 THEN 0 WHEN hard > 0 THEN 1 WHEN n_passed + n_failed = 0 THEN 2 ELSE 0 END::INT AS exit_code, n_passed, n_failed, n_skipped FROM c""",
+    ),
     "url_findings": (url_findings, f"WITH {_URL_SQL} SELECT path, url, problem FROM judged"),
     "url_gate": (
         url_gate,
@@ -335,7 +397,7 @@ QUERIES = {
     ),
     "completeness": (
         completeness,
-        """SELECT c_custkey AS name, c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) AS present FROM customer""",
+        """SELECT c_custkey AS name, c_custkey IN (SELECT CASE WHEN o_totalprice > 400000 THEN o_custkey ELSE -o_custkey END FROM orders) AS present FROM customer""",
     ),
     "profile_checks": (
         profile_checks,

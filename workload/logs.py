@@ -43,11 +43,11 @@ def _runs(spark, d):
 
 
 def _profiles(spark, d):
-    """Two profiles from the regions table."""
+    """A profile per region."""
     r = table(spark, d, "region")
     key = F.col("r_regionkey")
-    return r.where(key < 2).select(
-        F.when(key == 0, "legal").otherwise("research").alias("name"),
+    return r.select(
+        F.when(key == 0, "legal").when(key == 1, "research").otherwise(text("region", key)).alias("name"),
         F.when(key == 0, 3).cast("int").alias("max_retry_attempts"),
         F.lit(1).cast("int").alias("max_retries_per_agent"),
         F.when(key == 0, "all_or_nothing").otherwise("best_effort").alias("strategy"),
