@@ -7,10 +7,13 @@ different values different ones, and check digits are right again.
 
 from __future__ import annotations
 
+import calendar
 import datetime
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Callable
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,11 +23,14 @@ from docaudit.llm.common import small_batches
 
 ROUNDS = 10
 DAYS_FROM, DAYS_TO = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
+#: Days after the 12th before each month, and before the end.
+_LATE = [0, *accumulate(calendar.monthrange(y, m)[1] - 12 for y in range(DAYS_FROM.year, DAYS_TO.year + 1) for m in range(1, 13))]
+_MONTHS = "January February March April May June July August September October November December".split()
 
 _EMAIL = r"(?P<email>(?<![\w.+-])[A-Za-z0-9](?:[A-Za-z0-9._+-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-]))"
 _IBAN = r"(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
 _IP = r"(?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d))"
-_DATE = r"(?P<date>(?<![\d/.-])(?:\d{4}(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}|\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4})(?!\d|[/.-]\d))"
+_DATE = r"(?P<date>(?<![\w/.-])(?:\d{4}(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}|\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4}|(?i:MONTH) \d{1,2},? \d{4}|\d{1,2} (?i:MONTH),? \d{4})(?!\d|[/.-]\d))".replace("MONTH", "|".join(_MONTHS))
 _SSN = r"(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d]|-\d))"
 _PHONE = r"(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?![\d])|(?<![\d(])\(\d{3}\) ?\d{3}[.-]\d{4}(?![\d])|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d]|[.-]\d))"
 _CARD = r"(?P<card>(?<![\d])\d(?:[ -]?\d){12,18}(?![\d]))"
@@ -118,10 +124,42 @@ def _ip(text: str, turn) -> str | None:
     return ".".join(map(str, number.to_bytes(4, "big")))
 
 
+def _late_day(day: datetime.date, turn) -> datetime.date:
+    """A day after the 12th of its month, permuted among such days."""
+    month = (day.year - DAYS_FROM.year) * 12 + day.month - 1
+    number = turn(_LATE[month] + day.day - 13, _LATE[-1])
+    month = bisect_right(_LATE, number) - 1
+    return datetime.date(DAYS_FROM.year + month // 12, month % 12 + 1, number - _LATE[month] + 13)
+
+
+def _any_day(day: datetime.date, turn) -> datetime.date:
+    return DAYS_FROM + datetime.timedelta(turn((day - DAYS_FROM).days, (DAYS_TO - DAYS_FROM).days + 1))
+
+
+def _named_date(text: str, turn) -> str | None:
+    a, gap, b, rest, year = re.fullmatch(r"(\w+)( )(\w+)(,? )(\d{4})", text).groups()
+    name, number = (a, b) if b.isdigit() else (b, a)
+    try:
+        day = datetime.date(int(year), _MONTHS.index(name.title()) + 1, int(number))
+    except ValueError:
+        return None
+    if not DAYS_FROM <= day <= DAYS_TO:
+        return None
+    new = _any_day(day, turn)
+    month = _MONTHS[new.month - 1]
+    month = month.upper() if name.isupper() else month.lower() if name.islower() else month
+    own = {name: month, number: str(new.day).zfill(len(number))}
+    return f"{own[a]}{gap}{own[b]}{rest}{new.year:04d}"
+
+
 def _date(text: str, turn) -> str | None:
+    """The order in which numbers can be read is kept: what can be read in the usual order of its form is written in it, for any day; what
+    only the other order allows has a day after the 12th, and so has its pseudonym. So no two days share one."""
+    if any(c.isalpha() for c in text):
+        return _named_date(text, turn)
     a, sep, b, _, c = re.split(r"([-/.])", text)
     ways = [("y", "m", "d")] if len(a) == 4 else [("m", "d", "y"), ("d", "m", "y")] if sep == "/" else [("d", "m", "y"), ("m", "d", "y")]
-    for way in ways:
+    for usual, way in zip((True, False), ways):
         got = dict(zip(way, (a, b, c)))
         try:
             day = datetime.date(int(got["y"]), int(got["m"]), int(got["d"]))
@@ -130,7 +168,7 @@ def _date(text: str, turn) -> str | None:
         if not DAYS_FROM <= day <= DAYS_TO:
             continue
         # Numbers of one digit stay so only where the new ones allow it.
-        new = DAYS_FROM + datetime.timedelta(turn((day - DAYS_FROM).days, (DAYS_TO - DAYS_FROM).days + 1))
+        new = _any_day(day, turn) if usual else _late_day(day, turn)
         fields = {"y": f"{new.year:04d}", "m": str(new.month).zfill(len(got["m"])), "d": str(new.day).zfill(len(got["d"]))}
         return sep.join(fields[x] for x in way)
     return None
@@ -271,8 +309,8 @@ def pseudonymize(text: str, key: bytes) -> tuple[str, list[dict]]:
 def mask(docs: DataFrame, key: bytes, text: str = "text", spans: str = "spans") -> DataFrame:
     """The documents with all their columns, pseudonyms in their texts, and a column of what was replaced: structs start, end, kind, pseudonym.
 
-    Replaced are, if valid: payment cards (Luhn), IBANs (modulo 97), IPv4 addresses, dates from 1900 to 2099, US social security
-    numbers, phone numbers, and the local parts of mail addresses, whose domain stays. Whole texts count, however long. Only texts with
+    Replaced are, if valid: payment cards (Luhn), IBANs (modulo 97), IPv4 addresses, dates from 1900 to 2099 in numbers with
+    four-digit years or with English month names, US social security phone numbers, and the local parts of mail addresses, whose domain stays. Whole texts count, however long. Only texts with
     a digit or @ go through Python.
 
     Numbers and capitals behind a value stay. A card of 13 to 19 digits beside other numbers is found if its groups but the last have four
@@ -291,6 +329,7 @@ def mask(docs: DataFrame, key: bytes, text: str = "text", spans: str = "spans")
         return pd.DataFrame({"text": [x[0] for x in done], "spans": [x[1] for x in done]})
 
     worth = F.col(text).rlike("[0-9@]")
-    rows = docs.withColumn("_masked", run(F.when(worth, F.col(text))))
+    rows = docs.select(F.struct("*").alias("row"), run(F.when(worth, F.col(text))).alias("made"))
     none = F.array().cast("array<struct<start:int,end:int,kind:string,pseudonym:string>>")
-    return rows.withColumns({text: F.coalesce("_masked.text", F.col(text)), spans: F.coalesce("_masked.spans", none)}).drop("_masked")
+    row = F.col("row").withField(text, F.coalesce("made.text", F.col(f"row.{text}"))).withField(spans, F.coalesce("made.spans", none))
+    return rows.select(row.alias("row")).select("row.*")

@@ -3,6 +3,7 @@
 import datetime
 import json
 import random
+import re
 
 import pytest
 from docaudit.llm import chat_format as C
@@ -137,3 +138,64 @@ def test_mask(spark, docs):
     assert rows[3][1][by[4].spans[0].start : by[4].spans[0].end] == "8.8.8.8"
     assert "4785380592391139" not in by[5].text and len(by[5].text) == len(long)
     assert P.mask(docs([]), b"key").collect() == []
+
+
+def test_different_days_get_different_pseudonyms():
+    import datetime
+
+    days = [datetime.date(2000, 1, 1) + datetime.timedelta(i) for i in range(900)]
+    for forms in ([("%m/%d/%Y", False), ("%d/%m/%Y", True)], [("%d.%m.%Y", False), ("%m.%d.%Y", True)], [("%Y-%m-%d", False)], [("%B %-d, %Y", False)], [("%d %B %Y", False)]):
+        # The second order counts where the first cannot be meant.
+        written = {d.strftime(form): d for form, late in forms for d in days if not late or d.day > 12}
+        new = {value: P.pseudonymize(f"on {value}.", b"key") for value in written}
+        assert all(len(spans) == 1 and spans[0]["kind"] == "date" for _, spans in new.values())
+        assert len({text for text, _ in new.values()}) == len(written)
+    assert P.pseudonymize("MAY 03, 2024", b"key")[0].isupper()
+    assert P.pseudonymize("Mayor 3, 2024 or February 30, 2024 or in March 2024", b"key")[1] == []
+
+
+def test_mask_keeps_columns_of_any_name(spark, docs):
+    df = docs([(1, "call 8.8.8.8")])
+    df = df.selectExpr("*", "5 AS _masked", "6 AS made", "'old' AS spans")
+    got = P.mask(df, b"key").collect()[0]
+    assert (got["_masked"], got["made"], got["row"]) == (5, 6, 7) and got["spans"][0]["kind"] == "ip" and P.mask(df, b"key").columns == df.columns
+
+
+def slow_values(text):
+    """Numbers of cards, addresses of machines and mail, by trying every substring of a text against the definition."""
+    def card(x):
+        d = [int(c) for c in x]
+        total = sum(sum(divmod(2 * v, 10)) if i % 2 else v for i, v in enumerate(reversed(d)))
+        return 13 <= len(x) <= 19 and total % 10 == 0 and len(set(x)) > 1
+
+    def address(x):
+        parts = x.split(".")
+        return len(parts) == 4 and all(p.isdigit() and str(int(p)) == p and int(p) < 256 for p in parts)
+
+    out = []
+    for word in text.split(" "):
+        if word.isdigit() and card(word):
+            out.append(("card", word))
+        elif address(word):
+            out.append(("ip", word))
+        elif word.count("@") == 1 and word.split("@")[0].isalnum() and all(map(str.isalnum, word.split("@")[1].split("."))) and re.fullmatch("[a-z]{2,24}", word.split(".")[-1]) and "." in word:
+            out.append(("email", word))
+    return out
+
+
+def test_detection_against_a_slow_scanner():
+    rng = random.Random(4)
+    for _ in range(60):
+        words = []
+        for _ in range(30):
+            n = "".join(rng.choice("0123456789") for _ in range(rng.choice([5, 13, 16, 16, 19])))
+            words.append(rng.choice([n, n[:-1] + str(P.luhn(n[:-1])), ".".join(str(rng.randrange(300)) for _ in range(4)), f"ab{n[:3]}@{rng.choice(['mail', 'x'])}.{rng.choice(['org', 'c0'])}", "word"]))
+            words.append("and")  # so that numbers do not run into each other
+        text = " ".join(words)
+        new, spans = P.pseudonymize(text, b"key")
+        assert [(s["kind"], text[s["start"] : s["end"]]) for s in spans if s["kind"] != "phone"] == slow_values(text)
+        at, rebuilt = 0, []
+        for s in spans:
+            rebuilt += [text[at : s["start"]], s["pseudonym"]]
+            at = s["end"]
+        assert "".join([*rebuilt, text[at:]]) == new
