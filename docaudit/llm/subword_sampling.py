@@ -390,7 +390,7 @@ def encode(docs: DataFrame, model_file: str, samples: int = 2, seed: int = 0, sc
     return out.withColumnRenamed("id", key)
 
 
-def _slices(column: pa.Array, most: int = 4 << 20):
+def _slices(column: pa.Array, most: int = 2 << 20):
     """Ranges of rows of some MB of text, one row at least, so that the lattices of a batch fit in memory."""
     _, offsets = utf8(column)
     low = 0
