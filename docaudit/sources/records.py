@@ -86,14 +86,18 @@ def parse_profiles(files: DataFrame) -> DataFrame:
 
 
 def deterministic_gates(profiles: DataFrame) -> DataFrame:
-    """Gates that a program can check, in profile order."""
+    """Gates that a program can check, in profile order.
+
+    Any value of ``required`` counts as yes, except false, 0 and empty ones; JSON text is not told from other values here, so the text "false" is no, too.
+    """
+    no = F.col("gate.required").isin("false", "0", "0.0", "", "[]", "{}")
     gate = profiles.select("name", F.posexplode("quality_gates").alias("ord", "gate"))
     return gate.where(F.col("gate.mechanism") == "deterministic").select(
         "name",
         "ord",
         F.coalesce("gate.type", F.lit("unknown")).alias("gate_type"),
         # Changes outside the allowed folders block unless the profile says otherwise.
-        F.coalesce("gate.required", F.col("gate.type").eqNullSafe("scope_validation")).alias("required"),
+        F.coalesce(~no, F.col("gate.type").eqNullSafe("scope_validation")).alias("required"),
         F.col("gate.commit_scope").alias("commit_scope"),
     )
 

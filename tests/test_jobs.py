@@ -2,11 +2,13 @@
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from docaudit.operators import contradictions as D
 from docaudit.plans import jobs
-from docaudit.sources import files, records, reports
+from docaudit.sources import files, records, reports, tree
 
 
 def put(root, path, content):
@@ -108,3 +110,40 @@ def test_tracks_and_comments(spark, tmp_path):
     assert got == {"t_1": ("active", "- [x] a", None), "t_2": (None, None, "not a JSON object")}
     put(tmp_path, "feed/i.json", json.dumps({"number": 3, "comments": [{"author": {"login": "bo"}, "body": "hi", "createdAt": "2024-01-01T00:00:00Z"}]}))
     assert [(r.issue_number, r.seq, r.author) for r in records.read_comments(spark, str(tmp_path / "feed")).collect()] == [(3, 0, "bo")]
+
+
+def test_sanitized_tree(spark, tmp_path):
+    rows = [("a/b.md", "one"), ("a/c/d é.txt", "zwei\n"), ("e.md", None)]
+    target = tmp_path / "tree"
+    tree.write_tree(spark.createDataFrame(rows, "path string, text string").repartition(3), str(target))
+    read = lambda: {str(p.relative_to(target)): p.read_text() for p in target.rglob("*") if p.is_file()}
+    assert read() == {"a/b.md": "one", "a/c/d é.txt": "zwei\n", "e.md": ""}
+    # A task that fails leaves the old tree, and nothing beside it.
+    with pytest.raises(Exception, match="not a path below the tree"):
+        tree.write_tree(spark.createDataFrame([("new.md", "x"), ("../out.md", "y")], "path string, text string"), str(target))
+    assert read() == {"a/b.md": "one", "a/c/d é.txt": "zwei\n", "e.md": ""}
+    assert [p.name for p in tmp_path.iterdir()] == ["tree"]
+    # The next one replaces it whole.
+    tree.write_tree(spark.createDataFrame([("new.md", "x")], "path string, text string"), str(target))
+    assert read() == {"new.md": "x"} and [p.name for p in tmp_path.iterdir()] == ["tree"]
+
+
+def test_texts_in_any_case(spark, tmp_path):
+    for name in ("A.MD", "b.Txt", "c/d.markdown", "e.json", "f.mdx"):
+        put(tmp_path, name, name)
+    assert {r.path: r.text for r in files.read_texts(spark, str(tmp_path)).collect()} == {n: n for n in ("A.MD", "b.Txt", "c/d.markdown")}
+
+
+def test_poll(spark):
+    schema = "track_id string, status string, description string, updated_at string, github_issue struct<number: long>, active_questions array<struct<agent: string, status: string, question: string, answer: string>>"
+    waiting = ("t1", "active", "T", "u", (7,), [("a", "awaiting_human", "?", None)])
+    closed = ("t2", "completed", "C", "u", (8,), [("a", "awaiting_human", "?", None)])
+    feed = spark.createDataFrame(
+        [(7, 0, "a", "[Question][a] why", None), (7, 1, "me", "[ANSWER][a]\nso", None), (8, 0, "a", "[Question][a] closed", None)],
+        "issue_number long, seq long, author string, body string, created_at timestamp",
+    )
+    snapshot, tracks = jobs.poll_questions(spark.createDataFrame([waiting, closed], schema), feed, F.lit("2026-01-01 00:00:00"))
+    assert [(r.issue_number, r.issue_title, r.question, r.answer) for r in snapshot.collect()] == [(7, "T", "why", "so")]
+    assert {r.track_id: (r.active_questions[0].status, r.active_questions[0].answer) for r in tracks.collect()} == {"t1": ("answered", "so"), "t2": ("awaiting_human", None)}
+    snapshot, tracks = jobs.poll_questions(spark.createDataFrame([closed], schema), feed, F.lit("2026-01-01 00:00:00"))
+    assert snapshot.collect() == [] and tracks.first().active_questions[0].status == "awaiting_human"
