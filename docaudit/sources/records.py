@@ -134,18 +134,19 @@ def parse_tracks(files: DataFrame) -> DataFrame:
 
 
 def read_comments(spark: SparkSession, root: str) -> DataFrame:
-    """Comments of landed issue feeds, one JSON object per issue, numbered in feed order."""
+    """Comments of landed issue feeds, one JSON object per issue, numbered in feed order; objects that cannot be read drop out (see ``streaming.jobs.feed_sink``)."""
     feed = spark.read.schema(schemas.COMMENT_FEED).option("columnNameOfCorruptRecord", "_bad").json(root)
-    return (
-        feed.where(F.col("_bad").isNull())
-        .select(F.col("number").alias("issue_number"), F.posexplode("comments").alias("seq", "c"))
-        .select(
-            "issue_number",
-            F.col("seq").cast("long").alias("seq"),
-            F.col("c.author.login").alias("author"),
-            F.col("c.body").alias("body"),
-            parse_timestamp(F.col("c.createdAt")).alias("created_at"),
-        )
+    return feed_comments(feed.where(F.col("_bad").isNull()))
+
+
+def feed_comments(feed: DataFrame) -> DataFrame:
+    """The comments of feeds (number, comments), numbered in feed order."""
+    return feed.select(F.col("number").alias("issue_number"), F.posexplode("comments").alias("seq", "c")).select(
+        "issue_number",
+        F.col("seq").cast("long").alias("seq"),
+        F.col("c.author.login").alias("author"),
+        F.col("c.body").alias("body"),
+        parse_timestamp(F.col("c.createdAt")).alias("created_at"),
     )
 
 

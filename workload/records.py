@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docaudit.operators import profiles
 from docaudit.sources import records
 from workload.common import table, text
 
@@ -51,7 +52,36 @@ def track_records(spark, d):
     return found.select("track_id", "status", F.col("github_issue.number").alias("number"), "metadata_error", "plan")
 
 
+def overlaid_profiles(spark, d):
+    """The leaves of a profile per supplier: a base by nation, what the supplier sets over it, and a mixin that adds only."""
+    s = table(spark, d, "supplier")
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    base = text('{"budget":{"limit":', n, ',"phases":{"cap":6}},"gates":[1,2],"mode":"base","open":{"x":1}}')
+    own = (
+        F.when(k % 3 == 0, text('{"budget":{"limit":', k, '},"gates":[3],"open":7}'))
+        .when(k % 3 == 1, text('{"budget":{"phases":{"cap":9,"own":"', F.col("s_name"), '"}},"open":{}}'))
+        .otherwise('{"budget":null}')
+    )
+    mixin = F.lit('{"budget":{"extra":true},"gates":[9],"more":{"a":[{"b":1}]}}')
+    layers = [s.select(F.col("s_name").alias("name"), F.lit(rank).alias("rank"), body.alias("text")) for rank, body in ((1, base), (2, own), (0, mixin))]
+    leaves = profiles.overlaid_leaves(layers[0].unionByName(layers[1]).unionByName(layers[2]), ["name"])
+    return leaves.select("name", F.array_join("path", ".").alias("path"), "value")
+
+
 QUERIES = {
+    "overlaid_profiles": (
+        overlaid_profiles,
+        """WITH s AS (SELECT s_name AS name, s_suppkey AS k, s_nationkey AS n FROM supplier)
+        SELECT name, 'budget.limit' AS path, CASE k % 3 WHEN 0 THEN k ELSE n END::VARCHAR AS value FROM s WHERE k % 3 < 2
+        UNION ALL SELECT name, 'budget.phases.cap', CASE k % 3 WHEN 0 THEN '6' ELSE '9' END FROM s WHERE k % 3 < 2
+        UNION ALL SELECT name, 'budget.phases.own', '"' || name || '"' FROM s WHERE k % 3 = 1
+        UNION ALL SELECT name, 'budget.extra', 'true' FROM s WHERE k % 3 < 2
+        UNION ALL SELECT name, 'budget', 'null' FROM s WHERE k % 3 = 2
+        UNION ALL SELECT name, 'gates', CASE k % 3 WHEN 0 THEN '[3]' ELSE '[1,2]' END FROM s
+        UNION ALL SELECT name, 'mode', '"base"' FROM s
+        UNION ALL SELECT name, CASE k % 3 WHEN 0 THEN 'open' ELSE 'open.x' END, CASE k % 3 WHEN 0 THEN '7' ELSE '1' END FROM s
+        UNION ALL SELECT name, 'more.a', '[{"b":1}]' FROM s""",
+    ),
     "claims_files": (
         claims_files,
         """SELECT s_name || '.claims.json' AS path, s_name AS entity, CASE WHEN s_suppkey % 5 = 0 THEN 'numeric' END AS attribute,
