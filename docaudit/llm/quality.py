@@ -61,9 +61,14 @@ def passages(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return x, doc
     f = first[filled]
     n = np.diff(np.append(f, len(starts))).astype(float)
+    # A passage goes from its first word to the next one's, or to the end of its text, so it does not depend on what else is in the batch.
     byte_first = starts[f]
-    size = np.diff(np.append(byte_first, len(data))).astype(float)
-    out = [np.add.reduceat(kind[data], byte_first, dtype=np.int64) / size for kind in _byte_kinds()]
+    byte_end = np.append(byte_first[1:], len(data))
+    last = np.append(doc[filled][1:] != doc[filled][:-1], True)
+    byte_end[last] = offsets[doc[filled][last] + 1]
+    size = (byte_end - byte_first).astype(float)
+    ranges = np.stack([byte_first, byte_end], 1).ravel()
+    out = [np.add.reduceat(np.append(kind[data], 0), ranges, dtype=np.int64)[::2] / size for kind in _byte_kinds()]
     length = (ends - starts).astype(float)
     out.append(np.add.reduceat(length, f) / n)
     tail = data[ends - 1]

@@ -1,10 +1,13 @@
 """Toxicity and quality by held-out accuracy, and the vector forest by recall."""
 
+import math
 import random
+import re
+from functools import cache
 
 import numpy as np
 import pytest
-from docaudit.llm import quality, toxicity, vector_forest
+from docaudit.llm import bytetext, quality, toxicity, vector_forest
 from docaudit.llm.common import held_out
 from pyspark.sql import functions as F
 
@@ -119,3 +122,76 @@ def test_forest(spark):
     small = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r.query, r.neighbour) for r in vector_forest.nearest(small, F.col("vec_id") == 0).collect()] == [(0, 1)]
     assert vector_forest.nearest(small.filter("vec_id > 5"), F.lit(True)).collect() == []
+
+
+# Scores by plain loops over one text
+
+
+def plain_passages(text):
+    """The measures of every passage of a text, one by one."""
+    words = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
+    if not words:
+        return [[0.0] * len(quality.FEATURES)]
+    many = max(1, len(words) // 64 + (len(words) % 64 >= 16))
+    cuts = [64 * i for i in range(many)] + [len(words)]
+    out = []
+    for a, b in zip(cuts, cuts[1:]):
+        part = text[words[a][0] : words[b][0] if b < len(words) else len(text)]
+        own = [text[x:y] for x, y in words[a:b]]
+        share = lambda chars: sum(c in chars for c in part) / len(part)  # noqa: E731,B023
+        same = lambda lag: sum(i >= lag and text[slice(*words[i])] == text[slice(*words[i - lag])] for i in range(a, b)) / len(own)  # noqa: E731,B023
+        out.append([
+            share(range(65, 91)), share(b"!\"#$%&'()*+-/:;<=>?@[\\]^_`{}~"), share(b"|"), share(b"0123456789"), share(b"\n"), share(range(128, 256)),
+            sum(map(len, own)) / len(own), sum(w[-1:] in (b".", b",") for w in own) / len(own), same(1), same(2), same(3),
+            len(set(own)) / len(own), sum(65 <= w[0] <= 90 for w in own) / len(own), math.log1p(len(own)),
+        ])
+    return out
+
+
+def plain_quality(model, text):
+    w = model.weights
+    codes, pulls = [], []
+    for x in plain_passages((text or "").encode()):
+        x = [min(max((v - m) / s, -20), 20) for v, m, s in zip(x, model.mean, model.scale)]
+        h = [math.tanh(sum(v * w["W"][i][j] for i, v in enumerate(x)) + w["b"][j]) for j in range(quality.CODE)]
+        t = [math.tanh(sum(h[i] * w["V"][i][j] for i in range(quality.CODE))) for j in range(quality.GATE)]
+        g = [1 / (1 + math.exp(-sum(h[i] * w["U"][i][j] for i in range(quality.CODE)))) for j in range(quality.GATE)]
+        codes.append(h)
+        pulls.append(math.exp(sum(a * b * c for a, b, c in zip(t, g, w["w"]))))
+    z = [sum(p * h[j] for p, h in zip(pulls, codes)) / sum(pulls) for j in range(quality.CODE)]
+    return 1 / (1 + math.exp(-(sum(a * b for a, b in zip(z, w["c"])) + float(w["d"]))))
+
+
+def test_quality_against_plain_loops(spark, docs, corpus):
+    df, labels = tables(spark, docs, corpus)
+    model = quality.train(df, labels, held_out(F.col("k"), 5, 0))
+    rng = random.Random(8)
+    texts = [corpus[0][i][1] for i in range(0, 900, 30)] + [None, "", " \n ", "  outer blanks \n\n", "\n\nbefore", "é | É 12", " ".join(rng.choice(GOOD) for _ in range(5000)) + "\n"]
+    rows = docs(list(enumerate(texts))).repartition(2)
+    got = {r.doc_id: r.score for r in quality.score(rows, model).collect()}
+    column = {r.doc_id: r.s for r in rows.select("doc_id", quality.score_column(spark, model, F.col("text")).alias("s")).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == pytest.approx(plain_quality(model, text), abs=1e-9) and column[i] == pytest.approx(got[i], abs=1e-12)
+
+
+def test_toxicity_against_plain_loops(spark, docs, corpus):
+    """Noisy-or over sentences, from the hashes of single words that the model knows."""
+    df, labels = tables(spark, docs, corpus)
+    model = toxicity.train(df, labels, held_out(F.col("k"), 3, 1))
+    weights = dict(zip(model.vocabulary.tolist(), model.weights.tolist()))
+    texts = [corpus[0][i][1] for i in range(0, 900, 15)] + [None, "", "!!", "vilex", "VILEX. grokker? fine"]
+    got = {r.doc_id: r.score for r in toxicity.score(docs(list(enumerate(texts))), model).collect()}
+    @cache
+    def pull(word):
+        """The weights of a word and of its beginnings."""
+        data = np.frombuffer(word, np.uint8)
+        hashes = bytetext.words(data, np.array([0, len(data)]), bytetext.letters_table(), bytetext.fold_table(), toxicity.STEMS)[2:]
+        return sum(weights.get(int(h[0]), 0.0) for h in hashes)
+
+    for i, text in enumerate(texts):
+        ends = "[" + re.escape("".join(map(chr, toxicity.ENDS))) + "]"
+        sentences = [re.findall(rb"[A-Za-z\x80-\xff]+", part) for part in re.split(ends.encode(), (text or "").encode())]
+        clean = 1.0
+        for own in [x for x in sentences if x] or [[]]:
+            clean *= 1 - 1 / (1 + math.exp(-(model.bias + sum(map(pull, own)))))
+        assert got[i] == pytest.approx(1 - clean, abs=1e-9)
