@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from docaudit.functions import patterns as P
 from docaudit.functions.dates import micros
+from docaudit.sources.shared import written
 
 WIDTH = 1_000_000
 # Events look up the inits of a shorter stretch, so that what each of them gets stays small.
@@ -53,25 +54,26 @@ def run_starts(events: DataFrame) -> DataFrame:
 def with_epochs(events: DataFrame, width: int = WIDTH) -> DataFrame:
     """adds ``epoch_seq``, the ``seq`` of the accepted init in force at each event (NULL before the first).
 
-    Accepted inits are the first of a run and every forced one. Each stretch of a run carries the inits inside
-    it and the last one before it; events look their stretch up, so no run is ordered as a whole.
+    Accepted inits are the first of a run and every forced one. One aggregate of the log gives each stretch of a run its inits, and its
+    last one before; that table, a thousandth of the log, is written to the shared folder. Events look their stretch up, so no run is
+    ordered as a whole.
     """
     width = min(width, LOOKUP)
-    forced = is_forced(events)
-    inits = events.where(F.col("op") == "init").select("run_id", "seq", forced.alias("forced"))
-    first = inits.groupBy("run_id").agg(F.min("seq").alias("first_seq"))
-    accepted = inits.join(first, "run_id").where(F.col("forced") | (F.col("seq") == F.col("first_seq")))
     stretch = F.floor(F.col("seq") / width)
-    inside = accepted.groupBy("run_id", stretch.alias("stretch")).agg(
-        F.sort_array(F.collect_set("seq")).alias("starts"), F.max("seq").alias("last_start")
+    init = F.when(F.col("op") == "init", F.col("seq"))
+    forced = F.when(is_forced(events), init)
+    stretches = events.groupBy("run_id", stretch.alias("stretch")).agg(
+        F.min(init).alias("first"), F.collect_set(forced).alias("forced"), F.max(forced).alias("last_forced")
     )
     before = Window.partitionBy("run_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    stretches = (
-        events.select("run_id", stretch.alias("stretch"))
-        .distinct()
-        .join(inside, ["run_id", "stretch"], "left")
-        .withColumn("carried", F.max("last_start").over(before))
-        .drop("last_start")
+    first_before = F.min("first").over(before)
+    # The first init of a run counts too, where no earlier stretch has one.
+    own_first = F.when(first_before.isNull() & F.col("first").isNotNull(), F.array("first")).otherwise(F.array().cast("array<long>"))
+    stretches = written(
+        stretches.select(
+            "run_id", "stretch", F.array_union("forced", own_first).alias("starts"), F.greatest(F.max("last_forced").over(before), first_before).alias("carried")
+        ),
+        "stretches",
     )
     here = F.array_max(F.filter("starts", lambda s: s <= F.col("seq")))
     return (
