@@ -194,3 +194,18 @@ def test_plans_stay_in_the_engine(spark):
         text = plan(workload.RUNS[name](spark, "/root/testdata/sf0.001"))
         for bad in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
             assert bad not in text, (name, bad)
+
+
+def test_claims_and_logs_are_read_once_or_twice(spark, tmp_path):
+    """What is counted is written once; no result reads the claims again."""
+    rows = [r for r in random_claims(random.Random(1), 40) if r[4] in ("numeric", "size")]  # no statement under two types
+    spark.createDataFrame(rows, CLAIMS).write.parquet(f"{tmp_path}/claims")
+    points = D.claim_points(spark.read.parquet(f"{tmp_path}/claims"))
+    for result in (D.group_conflicts(points), D.claim_conflicts(points), D.contested_claims(points), D.is_blocked(points)):
+        read = result.inputFiles()
+        assert read and not any("/claims/" in f for f in read)
+    log = [("r", i, "2024-01-01", "init" if i == 0 else "register", f"a{i % 3}", "x", "p", None, None, None, False) for i in range(9)]
+    schema = "run_id string, seq long, ts string, op string, agent_id string, role string, phase string, status string, output_path string, interrupt_reason string, forced boolean"
+    spark.createDataFrame(log, schema).write.parquet(f"{tmp_path}/log")
+    plan = R.validate(spark.read.parquet(f"{tmp_path}/log"))._jdf.queryExecution().executedPlan().toString()
+    assert sum("FileScan" in line and "op#" in line for line in plan.splitlines()) == 2
