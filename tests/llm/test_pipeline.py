@@ -55,3 +55,27 @@ def test_one_row_of_a_repeated_id_goes_alone(spark, docs):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
+
+
+def test_stages_with_odd_rows_and_names(spark, docs):
+    """Stages but the last keep columns of any name; empty tables, nulls, repeated rows and ids with several texts go through."""
+    rows = [(1, "a b c d e f"), (2, None), (3, ""), (None, "x y z"), (4, "long " * 5000), (4, "other"), (5, "same"), (5, "same"), (5, "same")]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for some in (rows, []):
+            df = docs(some)
+            out = stage(spark, df, FOLDER)
+            assert out.columns == df.columns, name
+            assert {(r.doc_id, r.text) for r in out.collect()} <= set(some), name
+
+
+def test_mix_takes_what_the_plan_says(docs):
+    """Also where rows repeat: their copies come together, whichever of them they fall on."""
+    rows = [(i % 40, f"{'w ' * (i % 7)}t{i % 25}", "abc"[i % 3]) for i in range(200)] + [(None, "x y", None), (3, None, "a"), (3, None, "a")]
+    df = docs(rows).repartition(3)
+    want = Counter()
+    text = Counter()
+    for r in source_mixing.mixing_plan(df).collect():
+        want[r.doc_id, r.source] += r.copies
+    for r in source_mixing.mix(df).collect():
+        text[r.doc_id, r.source] += 1
+    assert text == Counter({k: n for k, n in want.items() if n})
