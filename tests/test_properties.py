@@ -209,3 +209,48 @@ def test_claims_and_logs_are_read_once_or_twice(spark, tmp_path):
     spark.createDataFrame(log, schema).write.parquet(f"{tmp_path}/log")
     plan = R.validate(spark.read.parquet(f"{tmp_path}/log"))._jdf.queryExecution().executedPlan().toString()
     assert sum("FileScan" in line and "op#" in line for line in plan.splitlines()) == 2
+
+
+def test_groups_are_counted_from_one_shuffle(spark):
+    """The claims of groups that fit a task are not multiplied by kinds of sets, nor joined with them."""
+    points = D.claim_points(spark.createDataFrame(random_claims(random.Random(2), 40), CLAIMS), attribute_conflicts=True)
+    for result in (D.group_conflicts(points, False), D.claim_conflicts(points, False)):
+        text = result._jdf.queryExecution().executedPlan().toString()
+        assert "Expand" not in text and "Join" not in text and text.split("Initial Plan")[-1].count("Exchange ") <= 1
+
+
+def test_large_groups_count_like_small_ones(spark, monkeypatch):
+    """The path of large groups and that of whole groups side by side, against whole groups alone."""
+    points = D.claim_points(spark.createDataFrame(random_claims(random.Random(7), 60), CLAIMS), attribute_conflicts=True)
+
+    def everything():
+        results = (D.group_conflicts(points, False), D.claim_conflicts(points, False), D.witnesses(points))
+        return [sorted(map(str, r.collect())) for r in results]
+
+    small = everything()
+    monkeypatch.setattr(D.swept.large_groups, "__defaults__", (12,))
+    assert everything() == small
+
+
+def test_profiles_that_share_sources_and_prefixes(spark):
+    """Sources and paths are looked up once per set of sources and per prefix, not once per profile; against plain loops."""
+    from docaudit.operators import audits as A
+
+    counts = spark.createDataFrame([("citation", f"article 1({i})", i, 0) for i in range(1, 8)], "kind string, key string, n long, n_failed long")
+    held = {"a": [1, 2, 3], "b": [3, 4], "c": [9]}
+    sources = spark.createDataFrame([(p, f"Article 1({i})") for p, ids in held.items() for i in ids], "path string, text string")
+    truths = {"p": ["a"], "q": ["a", "b"], "r": ["b", "none"], "s": ["none"], "t": [], "u": ["c"], "v": ["b", "a"]}
+    names = spark.createDataFrame([(n,) for n in truths], "name string")
+    told = spark.createDataFrame([(n, p) for n, ps in truths.items() for p in ps], "name string, path string")
+    audit = A.citation_audit_by_profile(counts, sources, names, told)
+    for r in audit.collect():
+        ids = {i for p in truths[r["name"]] for i in held.get(p, [])}
+        there = any(p in held for p in truths[r["name"]])
+        assert (r.skipped, r.n_checked, r.n_failed) == (not there, 28, 28 - sum(i for i in ids if i < 8)), r
+    paths = ["a/b/c", "a/b/c", "a\\b/d", "ab", "x", "x/y"]
+    prefixes = {"p": ["a/"], "q": ["a/", "a/b", "ab"], "r": ["a/b/c", "a\\b"], "s": [""], "t": [], "u": ["x", "xyz"], "v": ["a", "x/"]}
+    given = spark.createDataFrame([(n, p) for n, ps in prefixes.items() for p in ps], "name string, prefix string")
+    audit = A.scope_validation_by_profile(spark.createDataFrame([(p,) for p in paths], "path string"), names, given)
+    for r in audit.collect():
+        inside = sum(any(p.replace("\\", "/").startswith(q.replace("\\", "/")) for q in prefixes[r["name"]]) for p in paths)
+        assert (r.skipped, r.n_failed) == (not prefixes[r["name"]], len(paths) - inside), r
