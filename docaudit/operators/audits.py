@@ -259,29 +259,44 @@ def _by_profile(gate_type: str, counted: DataFrame, idle: Column) -> DataFrame:
 def citation_audit_by_profile(counts: DataFrame, sources: DataFrame, names: DataFrame, truths: DataFrame) -> DataFrame:
     """E2 per profile: citations of all documents, from ``mention_counts``, against the sources of each profile; skipped where none of these exists.
 
-    ``truths`` (name, path) lists the sources of profiles. Each source is read once.
+    ``truths`` (name, path) lists the sources of profiles. Each source is read once, however many profiles name it: citations are added up per
+    set of sources that hold them, and these sums are looked up once per set of sources that profiles name.
     """
     counted = counts.where("kind = 'citation'").select(F.col("key").alias("ref_key"), "n")
-    used = sources.join(truths.distinct(), "path").select("name", "path", "text")
-    known = citation_index(used, "text", ["name"])
-    found = counted.join(known, "ref_key").groupBy("name").agg(F.sum("n").alias("n_found"))
+    named = truths.where(F.col("path").isNotNull() & F.col("name").isNotNull())
+    used = sources.join(named.select("path").distinct(), "path", "left_semi")
+    present = used.select("path").distinct()
+    sets = named.distinct().join(present, "path").groupBy("name").agg(F.sort_array(F.collect_set("path")).alias("paths"))
+    known = citation_index(used, "text", ["path"])
+    holders = counted.join(known, "ref_key").groupBy("ref_key").agg(F.first("n").alias("n"), F.sort_array(F.collect_set("path")).alias("holders"))
+    holders = holders.groupBy("holders").agg(F.sum("n").alias("n")).select("holders", "n", F.explode("holders").alias("path"))
+    met = sets.select("paths").distinct().select("paths", F.explode("paths").alias("path")).join(holders, "path")
+    found = met.select("paths", "holders", "n").distinct().groupBy("paths").agg(F.sum("n").alias("n_found"))
+    per_name = sets.join(found, "paths", "left").select("name", "n_found", F.lit(True).alias("there"))
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_checked"))
-    there = used.select("name").distinct().withColumn("there", F.lit(True))
-    per = names.withColumn("n_checked", total.scalar()).join(found, "name", "left").join(there, "name", "left")
+    per = names.withColumn("n_checked", total.scalar()).join(per_name, "name", "left")
     per = per.withColumn("n_failed", F.col("n_checked") - F.coalesce("n_found", F.lit(0)))
-    return _by_profile("citation_audit", per, F.col("there").isNull())
+    return _by_profile("citation_audit", per.drop("n_found"), F.col("there").isNull())
 
 
 def scope_validation_by_profile(changed: DataFrame, names: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """E5 per profile, for prefixes (name, prefix); skipped where a profile has none. A path is looked up by its beginnings."""
+    """E5 per profile, for prefixes (name, prefix); skipped where a profile has none. A path is looked up by its beginnings.
+
+    Paths are added up per prefix, whatever profiles name it. Of a profile's prefixes only those count that no other of its prefixes begins, so
+    a path is inside of one of them at most and sums of theirs are exact.
+    """
     unified = lambda c: F.replace(F.col(c), F.lit("\\"), F.lit("/"))
-    paths = changed.where(F.length(F.trim("path")) > 0).select("path", unified("path").alias("unified"))
+    paths = changed.where(F.length(F.trim("path")) > 0).select(unified("path").alias("unified"))
     allowed = prefixes.select("name", unified("prefix").alias("start")).distinct()
     lengths = allowed.agg(F.collect_set(F.length("start"))).scalar()
     fits = F.filter("lengths", lambda n: n <= F.length("unified"))
-    starts = paths.distinct().withColumn("lengths", lengths).select("path", F.explode(F.transform(fits, lambda n: F.left("unified", n))).alias("start"))
-    inside = starts.join(allowed, "start").select("name", "path").distinct()
-    hits = paths.groupBy("path").agg(F.count(F.lit(1)).alias("n")).join(inside, "path").groupBy("name").agg(F.sum("n").alias("n_inside"))
+    counted = paths.groupBy("unified").agg(F.count(F.lit(1)).alias("n")).withColumn("lengths", lengths)
+    starts = counted.select("n", F.explode(F.transform(fits, lambda n: F.left("unified", n))).alias("start"))
+    inside = starts.join(allowed.select("start").distinct(), "start", "left_semi").groupBy("start").agg(F.sum("n").alias("n"))
+    begun = lambda p, all_of: F.exists(all_of, lambda q: (q != p) & F.startswith(p, q))
+    own = allowed.groupBy("name").agg(F.collect_set("start").alias("own"))
+    least = own.select("name", F.explode(F.filter("own", lambda p: ~begun(p, F.col("own")))).alias("start"))
+    hits = least.join(inside, "start").groupBy("name").agg(F.sum("n").alias("n_inside"))
     has = allowed.select("name").distinct().withColumn("has", F.lit(True))
     per = names.withColumn("n_checked", paths.agg(F.count(F.lit(1))).scalar()).join(hits, "name", "left").join(has, "name", "left")
     per = per.withColumn("n_failed", F.col("n_checked") - F.coalesce("n_inside", F.lit(0)))
