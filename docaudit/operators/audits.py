@@ -158,15 +158,19 @@ def mention_counts(docs: DataFrame, as_of: Column, path: str = "path", text: str
     """
     t = F.col(text)
 
-    def found(pattern: str, kind: str, form: str) -> Column:
-        return F.transform(mentions(t, pattern, 0), lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("raw"), F.lit(form).alias("form")))
+    nothing = F.array().cast("array<struct<kind:string,raw:string,form:string>>")
+
+    def found(pattern: str, kind: str, form: str, needs: Column) -> Column:
+        """Mentions in texts with what the pattern cannot do without, a test far cheaper than the pattern; NULL for NULL texts, as the pattern gives."""
+        every = F.transform(mentions(t, pattern, 0), lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("raw"), F.lit(form).alias("form")))
+        return F.when(needs | t.isNull(), every).otherwise(nothing)
 
     every = F.concat(
-        found(P.CITATION_ARTICLE, "citation", ""),
-        found(P.CITATION_SECTION, "citation", ""),
-        found(P.AUDIT_URL, "url", ""),
-        found(P.AUDIT_DATE_ISO, "date", YMD),
-        found(P.AUDIT_DATE_WRITTEN, "date", WRITTEN),
+        found(P.CITATION_ARTICLE, "citation", "", F.contains(t, F.lit("("))),
+        found(P.CITATION_SECTION, "citation", "", F.contains(t, F.lit("."))),
+        found(P.AUDIT_URL, "url", "", F.contains(t, F.lit("://"))),
+        found(P.AUDIT_DATE_ISO, "date", YMD, F.contains(t, F.lit("-"))),
+        found(P.AUDIT_DATE_WRITTEN, "date", WRITTEN, F.rlike(t, F.lit(rf"(?iU)(?:{'|'.join(m[:3] for m in P.MONTHS)})"))),
     )
     rows = with_date(docs.select(F.explode(every).alias("m")).select("m.*"), "raw", "form", "date")
     url = F.rtrim(F.col("raw"), F.lit(P.AUDIT_URL_TAIL))
