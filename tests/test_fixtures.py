@@ -1,12 +1,13 @@
 """Hand-derived cases for each family of operators."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from docaudit.functions import dates, numbers, text
-from docaudit.operators import assembly, audits, claims, contradictions, questions, runlog, sanitizing, tracks
+from docaudit.operators import assembly, audits, claims, contradictions, passages, questions, runlog, sanitizing, tracks
 
 CLAIM_FILES = "path string, claims array<struct<entity:string,attribute:string,value:string,confidence:double,source:string>>"
 
@@ -314,3 +315,39 @@ def test_assembly(spark):
     passages = spark.createDataFrame([("s1", "A b, c d E!"), ("s2", "a B c  d e"), ("s2", "other words are not shared")], "source string, text string")
     got = assembly.shared_passages(passages, "source", "text").collect()
     assert [(r.passage, r.n_sources, r.n_copies) for r in got] == [("a b c d e", 2, 2)]
+
+
+def test_near_passages_split_a_line_once(spark):
+    """A line of many words takes time in proportion: the old form split it again for every run of words."""
+    line = " ".join(f"w{i}" for i in range(60_000))
+    frame = spark.createDataFrame([(line,), ("a b",), ("a b c d a b c",)], "form string")
+    got = frame.select(passages.word_shingles(F.col("form"), 3).alias("s"))
+    assert str(got._jdf.queryExecution().analyzed()).count("split(form") == 1
+    assert got.select(F.size("s")).toPandas().iloc[:, 0].tolist() == [59_998, 1, 4]
+
+
+def test_near_passages_classes(spark):
+    """Long near-equal lines through a chain, equal short ones, a null source, words that only look alike; counted by hand."""
+    words = [f"w{i}" for i in range(300)]
+    chain = [" ".join(["x"] * k + words[k:]) for k in (0, 24, 48)]  # neighbours share over 0.8, the ends do not
+    rows = [("s1", chain[0]), ("s2", chain[1]), ("s3", chain[2].upper()), ("s3", chain[2]), ("s1", "one two"), (None, "One, two!"), ("s1", "one three"), ("s2", " -- "), ("s2", None)]
+    got = passages.near_passages(spark.createDataFrame(rows, "source string, text string"), "source", "text").collect()
+    assert {(r.passage, r.n_forms, r.n_sources, r.n_copies, r.first_source) for r in got} == {(min(chain), 3, 3, 4, "s1"), ("one two", 1, 2, 2, "s1")}
+
+
+def test_sketches_rule_out_no_pair_that_links(spark):
+    rng = random.Random(5)
+    sets = []
+    for _ in range(150):
+        base = [rng.getrandbits(63) for _ in range(rng.choice([1, 4, 5, 9, 10, 60, 900]))]
+        keep = round(len(base) * rng.choice([0.7, 0.8, 0.9, 1]))
+        sets += [base, base[:keep] + [rng.getrandbits(63) for _ in range(rng.choice([0, 0, 1, len(base) // 9]))] or base]
+    marks = spark.createDataFrame(list(enumerate(sets)), "id long, shingles array<long>").mapInArrow(passages._marks, "id long, n int, sketch array<long>, buckets array<long>")
+    side = lambda x: marks.select(F.col("id").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch"))
+    pairs = side("a").crossJoin(side("b")).where("a < b")
+    kept = {(r.a, r.b) for r in pairs.where(passages._can_link("a", "b", 80)).select("a", "b").collect()}
+    each = [set(s) for s in sets]
+    link = {(a, b) for a in range(len(each)) for b in range(a + 1, len(each)) if 100 * len(each[a] & each[b]) >= 80 * len(each[a] | each[b])}
+    assert link <= kept and len(link) > 40
+    small = lambda pairs: sum(len(each[a]) < 100 and len(each[b]) < 100 for a, b in pairs)
+    assert small(kept) < 2 * small(link)
