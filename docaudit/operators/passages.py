@@ -18,6 +18,7 @@ from docaudit.sources.shared import Scratch, written
 
 BANDS, ROWS = 24, 4
 SKETCH = 4  # words of 64 bits
+CHUNK = 256  # forms at once, so that their hashes stay in the processor's cache
 
 
 def word_shingles(form: Column, width: int) -> Column:
@@ -39,26 +40,26 @@ def _marks(batches):
     factors = rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
     shifts = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
     lists = lambda table: pa.ListArray.from_arrays(np.arange(0, table.size + 1, table.shape[1], dtype=np.int32), pa.array(table.ravel().view(np.int64)))
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        sets = batch.column("shingles")
-        values = sets.flatten().to_numpy().view(np.uint64)
-        offsets = sets.offsets.to_numpy()
-        starts = offsets[:-1] - offsets[0]
-        spread = (values ^ (values >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        buckets = np.empty((n, BANDS), np.uint64)
-        for band in range(BANDS):
-            mixed = np.full(n, band, np.uint64)
-            for k in range(band * ROWS, (band + 1) * ROWS):
-                low = np.minimum.reduceat((spread * factors[k] + shifts[k]) >> np.uint64(8), starts)
-                mixed = (mixed ^ low) * np.uint64(0xBF58476D1CE4E5B9)
-                mixed ^= mixed >> np.uint64(29)
-            buckets[:, band] = mixed
-        bits, words = np.uint64(1) << ((spread >> np.uint64(50)) & np.uint64(63)), (spread >> np.uint64(56)) % np.uint64(SKETCH)
-        sketch = np.stack([np.bitwise_xor.reduceat(np.where(words == w, bits, np.uint64(0)), starts) for w in range(SKETCH)], axis=1)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(offsets)), lists(sketch), lists(buckets)], ["id", "n", "sketch", "buckets"])
+    for whole in batches:
+        for batch in (whole.slice(at, CHUNK) for at in range(0, whole.num_rows, CHUNK)):
+            sets = batch.column("shingles")
+            values = sets.flatten().to_numpy().view(np.uint64)
+            offsets = sets.offsets.to_numpy()
+            starts = offsets[:-1] - offsets[0]
+            spread = (values ^ (values >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            buckets, hashed = np.empty((batch.num_rows, BANDS), np.uint64), np.empty_like(spread)
+            for band in range(BANDS):
+                mixed = np.full(batch.num_rows, band, np.uint64)
+                for k in range(band * ROWS, (band + 1) * ROWS):
+                    np.multiply(spread, factors[k], out=hashed)
+                    hashed += shifts[k]
+                    hashed >>= np.uint64(8)
+                    mixed = (mixed ^ np.minimum.reduceat(hashed, starts)) * np.uint64(0xBF58476D1CE4E5B9)
+                    mixed ^= mixed >> np.uint64(29)
+                buckets[:, band] = mixed
+            bits, words = np.uint64(1) << ((spread >> np.uint64(50)) & np.uint64(63)), (spread >> np.uint64(56)) % np.uint64(SKETCH)
+            sketch = np.stack([np.bitwise_xor.reduceat(np.where(words == w, bits, np.uint64(0)), starts) for w in range(SKETCH)], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(offsets)), lists(sketch), lists(buckets)], ["id", "n", "sketch", "buckets"])
 
 
 def components(links: DataFrame, keep: Keep) -> DataFrame:
@@ -91,11 +92,12 @@ def _sketched(df: DataFrame, marks: DataFrame, key: str) -> DataFrame:
     return df.join(marks.select(F.col("id").alias(key), F.col("n").alias(f"{key}_n"), F.col("sketch").alias(f"{key}_sketch")), key)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, keep: Keep) -> DataFrame:
-    """The pairs a, b whose sets are similar enough; of all sets, those of some pair are picked out once, then looked up by id."""
+def _verified(pairs: DataFrame, forms: DataFrame, percent: int, width: int, keep: Keep) -> DataFrame:
+    """The pairs a, b whose sets are similar enough; the forms of some pair are picked out once, and their sets looked up by id."""
     pairs = keep(pairs.select("a", "b"), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    used = keep(sets.select("id", "shingles").join(wanted, "id", "left_semi"), "used")
+    picked = forms.select("id", "form").join(wanted, "id", "left_semi")
+    used = keep(picked.select("id", word_shingles(F.col("form"), width).alias("shingles")), "used")
     own = lambda x: used.select(F.col("id").alias(x), F.col("shingles").alias(f"{x}_set"))
     shared = F.size(F.array_intersect("a_set", "b_set"))
     union = F.size("a_set") + F.size("b_set") - shared
@@ -107,10 +109,11 @@ def form_classes(forms: DataFrame, percent: int = 80, width: int = 3, keep: Keep
 
     A bucket is not paired within itself. First each of its forms is compared with one of them, another one in each band; most buckets then
     lie in one class. In the others, forms outside the class that begins the bucket are compared with those of other classes. Forms are numbered,
-    and only buckets of several forms are kept. Sketches rule out most pairs before their sets are looked up.
+    and only buckets of several forms are kept. Sketches rule out most pairs before their sets are made again.
     """
-    sets = keep(forms.select(F.col("id").alias("key"), F.monotonically_increasing_id().alias("id"), word_shingles(F.col("form"), width).alias("shingles")), "sets")
-    marks = keep(sets.select("id", "shingles").mapInArrow(_marks, "id long, n int, sketch array<long>, buckets array<long>"), "marks")
+    forms = keep(forms.select(F.col("id").alias("key"), F.monotonically_increasing_id().alias("id"), "form"), "forms")
+    sets = forms.select("id", word_shingles(F.col("form"), width).alias("shingles"))
+    marks = keep(sets.mapInArrow(_marks, "id long, n int, sketch array<long>, buckets array<long>"), "marks")
     places = marks.select("id", F.explode("buckets").alias("bucket"))
     first = F.min(F.col("id").bitwiseXOR(F.col("bucket")))
     pivots = places.groupBy("bucket").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -118,7 +121,7 @@ def form_classes(forms: DataFrame, percent: int = 80, width: int = 3, keep: Keep
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     near = places.where("id <> pivot").select(*pair("id", "pivot")).distinct()
     near = _sketched(_sketched(near, marks, "a"), marks, "b").where(_can_link("a", "b", percent))
-    links = keep(_verified(near, sets, percent, keep), "links")
+    links = keep(_verified(near, forms, percent, width, keep), "links")
     roots = components(links, keep)
     at = lambda df, key, name: df.join(roots.select(F.col("id").alias(key), F.col("root").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
     placed = at(at(places, "id", "root"), "pivot", "main")
@@ -128,10 +131,10 @@ def form_classes(forms: DataFrame, percent: int = 80, width: int = 3, keep: Keep
     outside = rest.where(F.col("root") != F.col("main")).select("bucket", "x", F.col("root").alias("x_root"), "x_n", "x_sketch")
     others = rest.select("bucket", F.col("x").alias("y"), F.col("root").alias("y_root"), F.col("x_n").alias("y_n"), F.col("x_sketch").alias("y_sketch"))
     more = outside.join(others, "bucket").where("x_root <> y_root").where(_can_link("x", "y", percent)).select(*pair("x", "y")).distinct()
-    more = keep(_verified(more, sets, percent, keep), "more")
+    more = keep(_verified(more, forms, percent, width, keep), "more")
     if not more.isEmpty():
         roots = components(keep(links.unionByName(more), "all"), keep)
-    named = keep(roots.join(sets.select("id", "key"), "id"), "named")
+    named = keep(roots.join(forms.select("id", "key"), "id"), "named")
     return named.join(named.groupBy("root").agg(F.min("key").alias("least")), "root").select(F.col("key").alias("id"), F.col("least").alias("root"))
 
 
